@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import packing, simhash
+from strandline.llm import langid, mixing, packing, pii, simhash
 from strandline.llm.common import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Below this posterior no language is credible.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a credible language, which replaces the given one; the rest go.
+
+    Predicting beside the row, not joining back by doc_id, keeps repeated rows as they are.
+    """
+    found = langid.tag(docs.select(*COLUMNS))
+    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,12 +28,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become format-preserving pseudonyms; n_chars follows the text."""
+    return pii.pseudonyms(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by Poisson counts towards the sources' target weights, in random order."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their ids, sequence and offset."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("pii", pseudonyms), ("mixing", mixture), ("packing", pack)]
 
 #: Fingerprints and tokens have no SQL form; tests hold the result against a brute-force version.
 ORACLE_SQL = None

@@ -18,7 +18,7 @@ END_ID = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Rows that one task packs at once; a partition's memory is in proportion to it.
 GROUP_ROWS = 4000
-_CACHE_ROWS = 500_000
+_CACHE_ROWS = 1_000_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -66,18 +66,21 @@ def encode_texts(texts: list[str | None], vocabulary: str = VOCABULARY) -> list[
     """
     tok, cache = _tokenizer(vocabulary)
     split = [(t or "").encode("utf-8").split() for t in texts]
-    fresh = {}
-    if unseen := {c: _plain(c) for chunks in split for c in chunks if c not in cache}:
-        cores = _encode_chunks(list({x for pair in unseen.values() for x in pair if x and x not in cache}), tok)
-        cores[b""] = b""
-        for c, pair in unseen.items():
-            a, b = (cache[x] if x in cache else cores[x] for x in pair)
-            fresh[c] = a + b
+    got = [list(map(cache.get, chunks)) for chunks in split]
+    gaps = [[i for i, ids in enumerate(found) if ids is None] for found in got]
+    unseen = {chunks[i]: None for chunks, at in zip(split, gaps) for i in at}
+    if unseen:
+        pairs = {c: _plain(c) for c in unseen}
+        cores = _encode_chunks(list({x for pair in pairs.values() for x in pair if x and x not in cache}), tok)
+        for c, pair in pairs.items():
+            unseen[c] = b"".join([cores[x] if x in cores else cache.get(x, b"") for x in pair])
         if len(cache) < _CACHE_ROWS:
-            cache.update(fresh)
             cache.update(cores)
-            return [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
-    return [b"".join([cache[c] if c in cache else fresh[c] for c in chunks]) for chunks in split]
+            cache.update(unseen)
+        for chunks, found, at in zip(split, got, gaps):
+            for i in at:
+                found[i] = unseen[chunks[i]]
+    return [b"".join(found) for found in got]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
