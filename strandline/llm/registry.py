@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, packing, pii, quality, simhash, vectors, warc
+from strandline.llm import langid, licenses, mixing, packing, pii, quality, simhash, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -56,6 +60,7 @@ QUERIES = (
     op1_embedding_near_dedup,
     op2_warc,
     op3_quality_classifier,
+    op4_license_scan,
     op5_exact_top_k,
     op6_mixing,
     op7_language_id,
@@ -78,6 +83,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id < head THEN head END AS refers_to
 FROM t
 """,
+    "op4_license_scan": licenses.oracle(),
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
