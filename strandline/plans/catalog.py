@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from strandline.plans import degree_queries  # noqa: F401
+from strandline.plans import degree_queries, text_queries, walk_queries  # noqa: F401
