@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from collections import ChainMap, Counter
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +21,7 @@ PIECE_CHARS, WORD_CHARS = 8, 32
 TRAIN_DOCS = 1500
 EM_ROUNDS = 4
 _FLOOR = 1e-7
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 800_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _caches: dict[str, tuple] = {}
@@ -189,12 +189,13 @@ def score_texts(texts: list[str | None], model: UnigramModel) -> tuple[list[str]
     split = [words_of(t) for t in texts]
     fresh = list({w for ws in split for w in ws if w not in known})
     if fresh:
-        if len(known) + len(fresh) > _CACHE_WORDS:
-            fresh = list({w for ws in split for w in ws})
-            known, logs = {}, logs[:0]
-        known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
         logs = np.concatenate([logs, model.log_likelihoods(fresh)])
-        _caches[model.id] = (known, logs)
+        rows = dict(zip(fresh, range(len(known), len(logs))))
+        if len(logs) <= _CACHE_WORDS:
+            known.update(rows)
+            _caches[model.id] = (known, logs)
+        else:  # the cache is full: these words hold for this call
+            known = ChainMap(rows, known)
     langs, scores = [], []
     for ws in split:
         if not ws:
