@@ -16,6 +16,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime_ms, content binary) below a root, by Spark's own reader, so any file system will do.
 
     Filters on path and size reach the scan; content is read only where it is selected.
+    The reader skips hidden files and directories.
     """
     base = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
