@@ -19,11 +19,11 @@ SYMBOL_LANGS = {
     "cjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "cs": "csharp",
 }
 TEST_FILE = (
-    r"\.(test|spec)\.[cm]?[jt]sx?$", r"(^|/)(test_[^/]*|[^/]*_test)\.py$", r"_test\.go$", r"(^|/)tests/[^/]*\.rs$",
-    r"(^|/)src/test/java/", r"(?i)(^|/|\.)[^/]*tests?\.cs$",
+    r"[.](?:spec|test)[.](?:c|m)?(?:js|ts)x?$", r"(?:^|/)(?:test_[^/]*|[^/]*_test)[.]py$", r"_test[.]go$", r"(?:^|/)tests/[^/]*[.]rs$",
+    r"(?:^|/)src/test/java/", r"(?i)(?:^|/|[.])[^/]*tests?[.]cs$",
 )
 TEST_SUBJECT = (
-    r"^(.+)\.(?:test|spec)\.[A-Za-z0-9]+$", r"^test_(.+)\.py$", r"^(.+)_test\.(?:go|py|rs)$", r"^(.+)Test\.java$",
+    r"^(.+)[.](?:spec|test)[.]\w+$", r"^test_(.+)[.]py$", r"^(.+)_test[.](?:rs|py|go)$", r"^(.+)Test[.]java$",
 )
 ENTRY_NAMES = (
     "index.html", "main.ts", "main.js", "main.py", "main.go", "main.rs", "server.ts", "server.js", "app.ts", "app.js", "app.py", "cli.ts", "cli.js",
@@ -169,7 +169,7 @@ def convention_test_target(p, lang) -> Column:
     p, lang = col(p), col(lang)
     java = F.regexp_replace(F.regexp_replace(p, r"(^|/)src/test/java/", "$1src/main/java/"), r"Test\.java$", ".java")
     return (
-        F.when(lang.isin("typescript", "tsx", "javascript") & p.rlike(TEST_FILE[0]), F.regexp_replace(p, r"\.(test|spec)(\.[cm]?[jt]sx?)$", "$2"))
+        F.when(lang.isin("typescript", "tsx", "javascript") & p.rlike(TEST_FILE[0]), F.regexp_replace(p, r"[.](?:spec|test)([.](?:c|m)?(?:js|ts)x?)$", "$1"))
         .when((lang == "python") & basename(p).rlike(r"^test_"), F.concat(F.regexp_extract(p, r"^(.*/)?", 0), F.regexp_replace(basename(p), r"^test_", "")))
         .when((lang == "python") & p.rlike(r"_test\.py$"), F.regexp_replace(p, r"_test\.py$", ".py"))
         .when((lang == "go") & p.rlike(r"_test\.go$"), F.regexp_replace(p, r"_test\.go$", ".go"))

@@ -101,8 +101,8 @@ def display_key(key) -> Column:
 
 def _camel(c: Column) -> Column:
     """A blank between a lower-case letter or digit and a capital, and before the last capital of a run."""
-    c = F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.regexp_replace(c, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    c = F.regexp_replace(c, r"([\p{Lower}\d])(\p{Upper})", "$1 $2")
+    return F.regexp_replace(c, r"(\p{Upper}+)(\p{Upper}\p{Lower})", "$1 $2")
 
 
 def tokenize_key(c) -> Column:
@@ -127,7 +127,7 @@ def tokenize_bm25(c) -> Column:
     """Distinct lower-case tokens, split at camel humps and between letters and digits; the whole word last when it has no blank."""
     c = F.coalesce(col(c), F.lit(""))
     chunks = F.filter(F.split(c, r"[^A-Za-z0-9]+"), lambda x: x != "")
-    digits = lambda x: F.regexp_replace(F.regexp_replace(_camel(x), r"([A-Za-z])([0-9])", "$1 $2"), r"([0-9])([A-Za-z])", "$1 $2")
+    digits = lambda x: F.regexp_replace(F.regexp_replace(_camel(x), r"(\p{Alpha})(\d)", "$1 $2"), r"(\d)(\p{Alpha})", "$1 $2")
     parts = F.flatten(F.transform(chunks, lambda x: F.split(digits(x), " ")))
     flat = F.trim(c)
     whole = F.when(flat.rlike("[A-Za-z0-9]") & ~flat.rlike(r"[ \t\n\r]"), F.array(flat)).otherwise(F.array().cast("array<string>"))
@@ -150,7 +150,7 @@ def issue_numbers(c) -> Column:
 
 def closing_numbers(c) -> Column:
     """Every #N that a closing key word precedes."""
-    found = F.regexp_extract_all(col(c), F.lit(r"(?i)(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)[ \t]*:?[ \t]+#([0-9]+)"), 1)
+    found = F.regexp_extract_all(col(c), F.lit(r"(?i)(?:closed|closes|close|fixed|fixes|fix|resolved|resolves|resolve)[ \t]*:?[ \t]+#([0-9]+)"), 1)
     return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
 
 

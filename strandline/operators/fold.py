@@ -86,7 +86,7 @@ def link_concepts(concepts: DataFrame, nodes: DataFrame) -> DataFrame:
     num = mine.select("src", F.explode(issue_numbers("s")).alias("n")).join(nodes.filter("t = 'issue'").select(F.col("id").alias("dst"), F.col("k").cast("int").alias("n")), "n")
     base = lambda c: F.element_at(F.split(c, "[/#]"), -1)
     names = unique_only(nodes.filter(F.col("t").isin("file", "entry", "sym")).select(F.col("id").alias("dst"), base(F.col("k")).alias("name")), "name")
-    files = F.regexp_extract_all("s", F.lit(r"([A-Za-z0-9_-]+\.[A-Za-z0-9]{1,5})"), 1)
+    files = F.regexp_extract_all("s", F.lit(r"(\w[\w-]*[.]\w{1,5})"), 1)
     idents = F.filter(F.regexp_extract_all("s", F.lit(r"([A-Za-z_][A-Za-z0-9_]{4,})"), 1), lambda x: x.rlike("[a-z][A-Z]|_"))
     words = mine.select("src", F.explode(F.array_distinct(F.concat(files, idents))).alias("name")).join(names, "name")
     return num.select("src", F.lit("mentions").alias("type"), "dst").unionByName(words.select("src", F.lit("mentions").alias("type"), "dst")).filter("src != dst").distinct()

@@ -171,7 +171,7 @@ def orphan_edges(spark, sf_dir):
 
 @query(
     "replace_owned_edges",
-    f"""WITH {b.FILE_EDGES} SELECT src, type, dst FROM fe WHERE type NOT IN ('imports', 'part-of', 'tested-by', 'documents')
+    f"""WITH {b.FILE_EDGES} SELECT src, type, dst FROM fe WHERE type NOT IN ('documents', 'tested-by', 'imports', 'part-of')
     UNION SELECT src, type, dst FROM fe WHERE type = 'imports' AND src LIKE 's%'""",
 )
 def replace_owned_edges(spark, sf_dir):

@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from strandline.sources.extract import ID, blank_comments, canonical, comments_only, header_doc, sha16, use_tree
+from strandline.sources.extract import _VIS, ID, blank_comments, canonical, comments_only, header_doc, sha16, use_tree
 
 SCHEMA = "path string, lang string, h string, loc int, doc string, specs array<string>, anchors array<struct<name:string,line:int,exported:boolean>>, locals array<string>, mentions array<string>"
 _SPECS = {
@@ -20,7 +20,7 @@ _ANCHORS = {
     "ts": rf"^(?P<exp>export\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\s*\*?|class|interface|enum|type|const|let|var)\s+(?P<name>{ID})",
     "py": rf"^(?:async\s+)?(?:def|class)\s+(?P<name>{ID})",
     "go": rf"^(?:func\s*(?:\([^)]*\))?|type)\s*(?P<name>{ID})",
-    "rs": rf"^(?P<exp>pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|mod|type)\s+(?P<name>{ID})",
+    "rs": rf"^(?P<exp>{_VIS})?(?:async\s+)?(?:fn|struct|enum|trait|mod|type)\s+(?P<name>{ID})",
     "java": rf"^\s*(?P<exp>public\s+)?(?:\w+\s+)*(?:class|interface|enum|record)\s+(?P<name>{ID})",
     "cs": rf"^\s*(?P<exp>public\s+)?(?:\w+\s+)*(?:class|interface|enum|record|struct)\s+(?P<name>{ID})",
     "md": r"^#{1,3}\s+(?P<name>.+?)\s*$",

@@ -267,7 +267,8 @@ GO_DEFS = (
     ("class", re.compile(rf"^type\s+(?P<name>{ID})(?:\[[^\]]*\])?\s+struct\b", re.M)),
     ("interface", re.compile(rf"^type\s+(?P<name>{ID})(?:\[[^\]]*\])?\s+interface\b", re.M)),
 )
-_RPUB = r"(?P<exp>pub(?:\([^)]*\))?\s+)?"
+_VIS = r"pub\b\s*(?:\([\w\s:]+\)\s*)?"
+_RPUB = rf"(?P<exp>{_VIS})?"
 RUST_DEFS = (
     ("function", re.compile(rf"^[ \t]*{_RPUB}(?:(?:async|const|unsafe|extern\s+\"[^\"]*\")\s+)*fn\s+(?P<name>{ID}){_GEN}\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{{;\n]+)?", re.M)),
     ("class", re.compile(rf"^[ \t]*{_RPUB}struct\s+(?P<name>{ID})", re.M)),
@@ -419,10 +420,10 @@ def use_tree(text: str) -> list[tuple[list[str], str | None, bool]]:
 def extract_rust(text: str) -> dict:
     facts = empty_facts(text)
     code, bare = blank_comments(text, "c", strings=True), blank_comments(text, "c")
-    for m in re.finditer(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", code, re.M):
+    for m in re.finditer(rf"^[ \t]*(?:{_VIS})?use\s+([^;]+);", code, re.M):
         for segs, alias, star in use_tree(m[1]):
             facts["imports"].append(an_import("::".join(segs), ns=alias, wildcard=star, segments=segs))
-    for m in re.finditer(rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+({ID})\s*;", code, re.M):
+    for m in re.finditer(rf"^[ \t]*(?:{_VIS})?mod\s+({ID})\s*;", code, re.M):
         facts["imports"].append(an_import(f"self::{m[1]}", segments=["self", m[1]]))
     _scan_defs(text, code, "rust", RUST_DEFS, facts)
     _scan_calls(code, facts)

@@ -135,3 +135,41 @@ def parse_impact_log(lines: DataFrame) -> DataFrame:
     """(ts_ms, path) of lines `<epoch ms> <path>`; other lines are left out."""
     ts = F.regexp_extract("value", r"^(\d+) (.+)$", 1)
     return lines.select(F.try_to_number(ts, F.lit("9" * 18)).cast("bigint").alias("ts_ms"), F.regexp_extract("value", r"^(\d+) (.+)$", 2).alias("path")).filter("path != ''")
+
+
+def read_soft(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A strict JSON Lines table, or an empty one where it is missing or corrupt: the baseline of a check."""
+    try:
+        found = read_jsonl(spark, path, schema)
+        found.count()
+        return found
+    except Exception:  # noqa: BLE001  whatever is wrong with the file, there is no baseline
+        return spark.createDataFrame([], schema)
+
+
+CHECK_STATE = "version int, state string, path string, name string, detail string"
+
+
+def save_check(findings: DataFrame, path: str, version: int = 1) -> None:
+    """The findings of the last check, in a fixed projection."""
+    findings.select(F.lit(version).alias("version"), "state", "path", "name", "detail").write.mode("overwrite").json(path)
+
+
+def read_check(spark: SparkSession, path: str, version: int = 1) -> DataFrame | None:
+    """The last check's findings; None where missing, corrupt or of another version."""
+    found = read_soft(spark, path, CHECK_STATE)
+    return None if found.isEmpty() or found.filter(F.col("version") != version).limit(1).count() else found.drop("version")
+
+
+def init_store(root: str, lines: tuple[str, ...] = ("cache/", "*.tmp")) -> None:
+    """Directories, an empty config and ignore lines of a local store; what is there already stays."""
+    from pathlib import Path
+
+    base = Path(root)
+    for d in ("nodes", "edges", "index", "overlays"):
+        (base / d).mkdir(parents=True, exist_ok=True)
+    config, ignore = base / "config.json", base / ".gitignore"
+    if not config.exists():
+        config.write_text("{}\n")
+    have = ignore.read_text().splitlines() if ignore.exists() else []
+    ignore.write_text("\n".join([*have, *(x for x in lines if x not in have)]) + "\n")

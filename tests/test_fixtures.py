@@ -357,3 +357,14 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("deaths").collect()} == {("a", 1, "ok"), ("a", 2, "dead"), ("a", 3, "deleted"), ("b", 1, "ok"), ("b", 2, "dead"), ("b", 3, "ok")}
     assert S.impact_log(spark.readStream.format("rate").load().selectExpr("timestamp ts", "'p' path")).isStreaming
+
+
+def test_check_state(spark, tmp_path):
+    found = spark.createDataFrame([("drift", "a", "f", None)], "state string, path string, name string, detail string")
+    path = str(tmp_path / "c")
+    assert files.read_check(spark, path) is None
+    files.save_check(found, path)
+    assert files.read_check(spark, path).first()["state"] == "drift" and files.read_check(spark, path, 2) is None
+    files.init_store(str(tmp_path / "s"))
+    files.init_store(str(tmp_path / "s"))
+    assert (tmp_path / "s/.gitignore").read_text().count("cache/") == 1
