@@ -290,7 +290,7 @@ def _dangling_args(spark, sf_dir):
     for status in ("O", "F"):
         own = li.filter(F.col("l_linestatus") == status)
         callees = own.select(F.concat_ws("/", path, name).alias("id"), path.alias("path"), name.alias("name"), F.lit("function").alias("kind"))
-        callers = own.select(who.alias("id"), F.lit("callers").alias("path"), who.alias("name"), F.lit("function").alias("kind"))
+        callers = own.select(who.alias("id"), F.concat(F.lit("callers/"), who).alias("path"), who.alias("name"), F.lit("function").alias("kind"))
         out.append((callees.unionByName(callers).distinct(), own.select(who.alias("src"), F.concat_ws("/", path, name).alias("dst"), F.lit("call").alias("type")).distinct()))
     (old, old_e), (new, new_e) = out
     return old_e, old, new, new_e, old.select("path").distinct()
