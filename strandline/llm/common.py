@@ -1,46 +1,28 @@
-"""Shared helpers: scratch tables in the folder the cluster shares, and Arrow batches."""
+"""Shared helpers: scratch tables in the shared folder, and caches of Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from strandline.storage import drop_path, materialize, scratch_dir, scratch_path  # noqa: F401
 
+_held: dict[str, object] = {}
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only if it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+def worker_cache(owner: str, make: Callable[[], object]):
+    """What a Python worker keeps for one owner between tasks; taking up another owner drops it.
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder that is removed when the driver ends."""
-    path = f"{scratch_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system; a stopped session leaves it."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone at exit
-        return
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write a table into the shared folder and read it back.
-
-    Files on shared storage outlive lost executors, unlike cached blocks.
+    Workers outlive stages, so without this each stage's cache would stay beside the next one's.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if owner not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+        _held[owner] = make()
+    return _held[owner]

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import worker_cache
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 UNDETERMINED = "und"
 START = "▁"
@@ -21,10 +23,9 @@ PIECE_CHARS, WORD_CHARS = 8, 32
 TRAIN_DOCS = 1500
 EM_ROUNDS = 4
 _FLOOR = 1e-7
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_caches: dict[str, tuple] = {}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -156,6 +157,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN
     chosen = rows.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def count(batches):
+        worker_cache("langid counts", dict)
         total: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -182,10 +184,8 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN
 
 def score_texts(texts: list[str | None], model: UnigramModel) -> tuple[list[str], list[float]]:
     """Best language of each whole text and its posterior under equal priors."""
-    if model.id not in _caches:
-        _caches.clear()
-        _caches[model.id] = ({}, np.zeros((0, len(model.langs))))
-    known, logs = _caches[model.id]
+    held = worker_cache(f"langid {model.id}", lambda: [{}, np.zeros((0, len(model.langs)))])
+    known, logs = held
     split = [words_of(t) for t in texts]
     fresh = list({w for ws in split for w in ws if w not in known})
     if fresh:
@@ -193,7 +193,7 @@ def score_texts(texts: list[str | None], model: UnigramModel) -> tuple[list[str]
         rows = dict(zip(fresh, range(len(known), len(logs))))
         if len(logs) <= _CACHE_WORDS:
             known.update(rows)
-            _caches[model.id] = (known, logs)
+            held[1] = logs
         else:  # the cache is full: these words hold for this call
             known = ChainMap(rows, known)
     langs, scores = [], []

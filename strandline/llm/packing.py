@@ -11,25 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import materialize, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Rows that one task packs at once; a partition's memory is in proportion to it.
 GROUP_ROWS = 4000
-_CACHE_ROWS = 1_000_000
-_tokenizers: dict[str, tuple] = {}
+_CACHE_ROWS = 600_000
 
 
 def _tokenizer(vocabulary: str):
     """(tokenizer, cache of white-space-delimited chunks), kept by the worker between tasks."""
-    if vocabulary not in _tokenizers:
+
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[vocabulary] = (Tokenizer.from_file(vocabulary), {})
-    return _tokenizers[vocabulary]
+        return Tokenizer.from_file(vocabulary), {}
+
+    return worker_cache(f"packing {vocabulary}", load)
 
 
 def _plain(chunk: bytes) -> tuple[bytes, bytes]:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import worker_cache
+
 #: Tests and examples only; a production run passes its own secret.
 DEFAULT_KEY = b"strandline-example-key"
 ROUNDS = 10
@@ -248,6 +250,7 @@ def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text"
     using = Pseudonymizer(key)
 
     def run(batches):
+        worker_cache("pii", dict)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)

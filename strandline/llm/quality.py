@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import worker_cache
+
 #: Documents that the scorer is fitted on, at most, chosen by a hash of doc_id.
 TRAIN_DOCS = 6000
 BITS = 18
 EM_ROUNDS = 60
 _CACHE_WORDS = 300_000
-_cache: dict[str, tuple[int, int]] = {}
 
 #: Function words of the languages in scope; their absence is typical of lists and noise.
 FUNCTION_WORDS = frozenset(
@@ -106,15 +107,15 @@ def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[floa
     return prior, rates, dict(zip(codes, post.tolist()))
 
 
-def _word_features(word: str) -> tuple[int, int]:
+def _word_features(word: str, cache: dict) -> tuple[int, int]:
     """Buckets of a word and of its shape (runs of letters, digits and signs)."""
-    found = _cache.get(word)
+    found = cache.get(word)
     if found is None:
         shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         shape = _RUNS.sub(r"\1\1", shape)
         found = (crc32(word.lower().encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1), crc32(b"shape:" + shape.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))
-        if len(_cache) < _CACHE_WORDS:
-            _cache[word] = found
+        if len(cache) < _CACHE_WORDS:
+            cache[word] = found
     return found
 
 
@@ -128,9 +129,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    n = len(words)
+    n, cache = len(words), worker_cache("quality", dict)
     stats = (b"distinct:%d" % (10 * len(set(words)) // n), b"stutter:%d" % (10 * sum(map(str.__eq__, words, words[1:])) // n), b"length:%d" % n.bit_length())
-    pairs = np.array([_word_features(w) for w in words], np.int64).ravel()
+    pairs = np.array([_word_features(w, cache) for w in words], np.int64).ravel()
     whole = np.array([crc32(x) & ((1 << BITS) - 1) for x in stats], np.int64)
     bucket, count = np.unique(np.concatenate([pairs, np.repeat(whole, max(1, n // 4))]), return_counts=True)
     weight = np.sqrt(count)

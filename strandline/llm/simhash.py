@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import materialize
+from strandline.llm.common import materialize, worker_cache
 from strandline.llm.components import Forest, components
 
 SEED = 42
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long: the fingerprint's two's complement) for each row; null text is as no words."""
 
     def run(batches):
+        worker_cache("simhash", dict)
         for batch in batches:
             fps = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])

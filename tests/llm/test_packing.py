@@ -3,6 +3,7 @@ import random
 import numpy as np
 from tokenizers import Tokenizer
 
+from strandline.llm import common
 from strandline.llm import packing as P
 
 
@@ -18,7 +19,7 @@ def test_ids_equal_the_tokenizers(documents):
 def test_full_cache(documents, monkeypatch):
     texts = [r.text for r in documents.select("text").limit(20).collect()]
     want = P.encode_texts(texts)
-    monkeypatch.setattr(P, "_tokenizers", {})
+    common._held.clear()
     monkeypatch.setattr(P, "_CACHE_ROWS", 0)
     assert P.encode_texts(texts) == want
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from strandline.llm import langid as L
-from strandline.llm import licenses, mixing, pii, quality
+from strandline.llm import common, licenses, mixing, pii, quality
 from tests.compare import check, tables
 
 SF = "/root/testdata/sf0.001"
@@ -57,10 +57,10 @@ def test_words():
 def test_full_cache_gives_the_same(model, monkeypatch):
     texts = ["the cat", "the dog and the cat", None, "xyz zyx"]
     want = L.score_texts(texts, model)
-    L._caches.clear()
+    common._held.clear()
     monkeypatch.setattr(L, "_CACHE_WORDS", 1)
     assert L.score_texts(texts, model) == want
-    L._caches.clear()
+    common._held.clear()
 
 
 def test_held_out_accuracy(spark):
