@@ -18,6 +18,8 @@ END_ID = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Rows that one task packs at once; a partition's memory is in proportion to it.
 GROUP_ROWS = 4000
+#: Free tokens with which a bin is final, by round: full bins at first, nearly full ones later.
+SLACK = (0, 0, 1, 2, 4, 8)
 _CACHE_ROWS = 600_000
 
 
@@ -202,7 +204,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 8, group_rows
         groups = max(1, -(-open_rows // group_rows))
         packed = materialize(_pack_groups(items, groups, turn, capacity), "pack-round")
         bins = packed.groupBy("seq").agg(F.first("fill").alias("fill"), F.first("bins").alias("b"), F.first("bound").alias("lb"))
-        slack = capacity // 256 if turn < 2 else capacity // 1024
+        slack = SLACK[min(turn, len(SLACK) - 1)]
         tight = F.col("fill") >= capacity - slack
         n_tight, n_all = bins.agg(F.count_if(tight), F.count("*")).first()
         if closed + n_all <= bound or groups == 1 or turn == rounds - 1:
