@@ -107,16 +107,17 @@ def fit_labellers(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[floa
     return prior, rates, dict(zip(codes, post.tolist()))
 
 
-def _word_features(word: str, cache: dict) -> tuple[int, int]:
-    """Buckets of a word and of its shape (runs of letters, digits and signs)."""
-    found = cache.get(word)
-    if found is None:
+class _Buckets(dict):
+    """Word -> bucket of the word, and above it the bucket of its shape (runs of letters, digits and signs)."""
+
+    def __missing__(self, word: str) -> int:
         shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word)
         shape = _RUNS.sub(r"\1\1", shape)
-        found = (crc32(word.lower().encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1), crc32(b"shape:" + shape.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1))
-        if len(cache) < _CACHE_WORDS:
-            cache[word] = found
-    return found
+        low = (crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in (word.lower(), "shape:" + shape))
+        found = next(low) | next(low) << BITS
+        if len(self) < _CACHE_WORDS:
+            self[word] = found
+        return found
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +130,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    n, cache = len(words), worker_cache("quality", dict)
+    n, cache = len(words), worker_cache("quality", _Buckets)
     stats = (b"distinct:%d" % (10 * len(set(words)) // n), b"stutter:%d" % (10 * sum(map(str.__eq__, words, words[1:])) // n), b"length:%d" % n.bit_length())
-    pairs = np.array([_word_features(w, cache) for w in words], np.int64).ravel()
+    both = np.fromiter(map(cache.__getitem__, words), np.int64, n)
+    pairs = np.concatenate([both & ((1 << BITS) - 1), both >> BITS])
     whole = np.array([crc32(x) & ((1 << BITS) - 1) for x in stats], np.int64)
     bucket, count = np.unique(np.concatenate([pairs, np.repeat(whole, max(1, n // 4))]), return_counts=True)
     weight = np.sqrt(count)
