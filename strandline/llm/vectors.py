@@ -80,70 +80,72 @@ def _with_codes(rotations: int):
         for batch in batches:
             x = batch.column(4)
             widths = np.diff(x.offsets.to_numpy())
-            codes = np.zeros((batch.num_rows, tables * probes), np.int64)
+            codes = np.zeros((batch.num_rows, tables * probes), np.int32)
             for w in np.unique(widths).tolist():
                 rows = np.flatnonzero(widths == w)
-                codes[rows] = cross_polytope_codes(_matrix(x.take(pa.array(rows))), tables, probes, rotations)
+                wide = cross_polytope_codes(_matrix(x.take(pa.array(rows))), tables, probes, rotations)
+                codes[rows] = np.where(wide < 0, -1, wide % 2147483647)  # codes that fall together are verified apart
             lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32), codes.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["k1", "k2", "rep", "n", "vec", "label", "codes"])
 
     return run
 
 
-def _pairs(x, size, rep, codes, table, code, side, threshold, forest, links):
-    """Verify one bucket (or one block pair of a hot one), counting a pair only in its first shared bucket.
+def _tally(i, j, at: dict[str, np.ndarray], links: np.ndarray, forest: Forest) -> None:
+    """Count verified pairs of rows, each only in the first bucket that its vectors share.
 
-    side: 0 and 1 are the two blocks of a block pair, 2 stands for both.
+    at: rep, n, codes (rows, tables, probes), table, code and side of each row. A side
+    of 2 pairs with all rows of its bucket; 0 and 1 are the blocks of a block pair.
     """
-    n, probes = len(rep), codes.shape[2]
-    for at in range(0, n, 2048):
-        rows = slice(at, min(n, at + 2048))
-        i, j = np.nonzero(x[rows] @ x.T >= threshold)
-        i += at
-        keep = (rep[i] < rep[j]) & ((side[i] != side[j]) | (side[i] == 2))
-        i, j = i[keep], j[keep]
-        for k in range(0, len(i), 100_000):  # bounded memory however dense the bucket
-            a, b = i[k : k + 100_000], j[k : k + 100_000]
-            earlier = np.zeros(len(a), bool)
-            for t in range(table + 1):
-                for p in range(probes):
-                    for q in range(probes):
-                        same = (codes[a, t, p] == codes[b, t, q]) & (codes[a, t, p] >= 0)
-                        if t == table:  # of several shared buckets in this table the smallest code counts
-                            same &= codes[a, t, p] < code
-                        earlier |= same
-            a, b = a[~earlier], b[~earlier]
-            np.add.at(links, a, size[b])
-            np.add.at(links, b, size[a])
-            for u, v in zip(rep[a].tolist(), rep[b].tolist()):
-                forest.union(u, v)
+    side, codes = at["side"], at["codes"]
+    keep = (side[i] != side[j]) | (side[i] == 2)
+    i, j = i[keep], j[keep]
+    for k in range(0, len(i), 50_000):  # bounded memory however dense the bucket
+        a, b = i[k : k + 50_000], j[k : k + 50_000]
+        table, code, earlier = at["table"][a], at["code"][a], np.zeros(len(a), bool)
+        for t in range(int(table.max()) + 1):
+            for p in range(codes.shape[2]):
+                own = codes[a, t, p]
+                shared = (codes[b, t] == own[:, None]).any(1) & (own >= 0)
+                earlier |= shared & ((t < table) | ((t == table) & (own < code)))
+        a, b = a[~earlier], b[~earlier]
+        np.add.at(links, a, at["n"][b])
+        np.add.at(links, b, at["n"][a])
+        for u, v in zip(at["rep"][a].tolist(), at["rep"][b].tolist()):
+            forest.union(u, v)
 
 
 def _verify(threshold: float, rotations: int):
     tables, probes = SETTINGS[rotations]
 
     def flush(rows: pa.Table, forest, totals):
-        label, table, code = (rows[c].to_numpy() for c in ("label", "tbl", "code"))
-        part = rows["part"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (table[1:] != table[:-1]) | (code[1:] != code[:-1]) | (part[1:] != part[:-1]), True])
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if b - a < 2:
-                continue
-            own = rows.slice(a, b - a).combine_chunks()
-            vec = own["vec"].chunk(0)
-            widths = np.diff(vec.offsets.to_numpy())
-            for w in np.unique(widths).tolist():
-                pick = np.flatnonzero(widths == w)
-                if len(pick) < 2:
-                    continue
-                x = _matrix(vec.take(pa.array(pick)))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                rep, size, side = (own[c].to_numpy()[pick] for c in ("rep", "n", "side"))
-                codes = _matrix(own["codes"].chunk(0).take(pa.array(pick)), np.int64).reshape(len(pick), tables, probes)
-                links = np.zeros(len(pick), np.int64)
-                _pairs(x, size, rep, codes, int(table[a]), int(code[a]), side, threshold, forest, links)
-                for r, k in zip(rep[links > 0].tolist(), links[links > 0].tolist()):
-                    totals[r] = totals.get(r, 0) + k
+        """Whole buckets: small ones step by step over all of them at once, larger ones by blocks of products."""
+        vec = rows["vec"].combine_chunks()
+        widths = np.diff(vec.offsets.to_numpy())
+        for w in np.unique(widths).tolist():
+            pick = np.flatnonzero(widths == w)
+            x = _matrix(vec.take(pa.array(pick)))
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            at = {name: rows[c].to_numpy()[pick] for name, c in (("rep", "rep"), ("n", "n"), ("table", "tbl"), ("code", "code"), ("side", "side"))}
+            at["codes"] = _matrix(rows["codes"].combine_chunks().take(pa.array(pick)), np.int32).reshape(len(pick), tables, probes)
+            bucket = [rows[c].to_numpy()[pick] for c in ("label", "tbl", "code", "part")]
+            edge = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in bucket], axis=0), True])
+            size = np.diff(edge)
+            end, links = np.repeat(edge[1:], size), np.zeros(len(pick), np.int64)
+            here, step = np.flatnonzero(np.repeat(size <= 64, size) & (np.arange(len(pick)) + 1 < end)), 1
+            while len(here):
+                near = here[np.einsum("ij,ij->i", x[here], x[here + step]) >= threshold]
+                if len(near):
+                    _tally(near, near + step, at, links, forest)
+                step += 1
+                here = here[here + step < end[here]]
+            for a, n in zip(edge[:-1][size > 64].tolist(), size[size > 64].tolist()):
+                for lo in range(a, a + n, 2048):
+                    i, j = np.nonzero(x[lo : min(a + n, lo + 2048)] @ x[lo : a + n].T >= threshold)
+                    upper = i < j
+                    _tally(i[upper] + lo, j[upper] + lo, at, links, forest)
+            for r, k in zip(at["rep"][links > 0].tolist(), links[links > 0].tolist()):
+                totals[r] = totals.get(r, 0) + k
 
     def run(batches):
         forest, totals, held = Forest(), {}, []
@@ -183,7 +185,8 @@ def embedding_duplicates(
     are ignored; an empty table gives an empty result.
     """
     ok = usable("vec") & F.col("label").isNotNull() & F.exists("vec", lambda x: x != 0)
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("long").alias("label"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats stay narrow in shuffles
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).cast("long").alias("label"))
     keys = [F.when(ok, F.xxhash64(F.lit(s), "label", "vec")) for s in (1, 2)]
     base = base.withColumns({"k1": keys[0], "k2": keys[1]})
     classes = (
@@ -195,13 +198,14 @@ def embedding_duplicates(
     rotations = 2 if largest < 4_000_000 else 3
     tables, probes = SETTINGS[rotations]
     coded = materialize(
-        classes.mapInArrow(_with_codes(rotations), "k1 long, k2 long, rep long, n long, vec array<double>, label long, codes array<long>"),
+        classes.mapInArrow(_with_codes(rotations), f"k1 long, k2 long, rep long, n long, vec {kind}, label long, codes array<int>"),
         "vec-classes",
     )
     slots = coded.select("*", F.posexplode("codes").alias("slot", "code")).filter("code >= 0").withColumn("tbl", (F.col("slot") / probes).cast("long"))
-    hot = (
+    hot = materialize(  # its size is known when the next join is planned, so the wide side need not move for it
         slots.groupBy("label", "tbl", "code").count().filter(F.col("count") > HOT_BUCKET)
-        .select("label", "tbl", "code", F.ceil(F.col("count") / HOT_BUCKET * 2).cast("int").alias("blocks"))
+        .select("label", "tbl", "code", F.ceil(F.col("count") / HOT_BUCKET * 2).cast("int").alias("blocks")),
+        "vec-hot",
     )
     entries = slots.join(hot, ["label", "tbl", "code"], "left")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
