@@ -46,11 +46,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
         weight = F.lit(0.0)
         for name, w in sorted(weights.items()):
             weight = F.when(F.col("source") == name, float(w)).otherwise(weight)
-    weighed = sizes.withColumn("w", weight)
-    total = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
-    rate = F.when(F.col("all_w") > 0, F.least(F.lit(MAX_RATE), F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n"))).otherwise(0.0)
-    rated = weighed.crossJoin(F.broadcast(total)).select("source", "n", rate.alias("rate"))  # total is one row
-    return rated.withColumn("steps", poisson_steps(F.col("rate")))
+    weighed = materialize(sizes.withColumn("w", weight), "mix-sizes")
+    all_w, all_n = weighed.agg(F.sum("w"), F.sum("n")).first()
+    rate = F.least(F.lit(MAX_RATE), F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n")) if all_w else F.lit(0.0)
+    return weighed.select("source", "n", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
