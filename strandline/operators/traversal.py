@@ -20,18 +20,24 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return (down if direction == "down" else up).distinct()
 
 
+#: Seeds times edges up to which a walk runs on the driver: its size is counted first, as for a broadcast.
+LOCAL_WORK = 2_000_000
+
+
 def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str = "down") -> DataFrame:
     """Breadth-first levels: seeds' columns and hop, one row for each node at its first level.
 
     seeds has `id`, and any other columns name independent walks that share the
     joins. Each hop joins the last level alone with the edges, drops what any
     level has, and is written out, so the plan of hop n does not hold hop n - 1.
-    Stops when a level is empty.
+    Stops when a level is empty. Walks that are small by count skip the joins.
     """
     walk = materialize(directed(edges, direction), "walk-edges")
     keys = seeds.columns
     others = [c for c in keys if c != "id"]
     level = materialize(seeds.distinct().withColumn("hop", F.lit(0)), "level")
+    if walk.count() * max(1, level.count()) <= LOCAL_WORK:
+        return _walk_here(walk, level, max_hops)
     seen = level
     for hop in range(1, max_hops + 1):
         step = (
@@ -47,6 +53,24 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str =
     return seen
 
 
+def _walk_here(walk: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+    """The same levels by a walk over the counted, small tables."""
+    at = seeds.columns.index("id")
+    onward: dict = {}
+    for r in walk.collect():
+        onward.setdefault(r["src"], []).append(r["dst"])
+    rows = [tuple(r) for r in seeds.collect()]
+    level, seen = [r[:-1] for r in rows], {r[:-1] for r in rows}
+    for hop in range(1, max_hops + 1):
+        step = {(*r[:at], d, *r[at + 1 :]) for r in level for d in onward.get(r[at], ())} - seen
+        if not step:
+            break
+        seen |= step
+        level = list(step)
+        rows += [(*r, hop) for r in level]
+    return walk.sparkSession.createDataFrame(rows, seeds.schema)
+
+
 def flow_edges(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) over imports and calls."""
     return edges.filter(F.col("type").isin(*FLOW_TYPES)).select("src", "dst").distinct()
