@@ -212,7 +212,7 @@ def bounded_view(spark, sf_dir):
 
 @query(
     "runner_first_marker",
-    """WITH m AS (SELECT 'src' || doc_id % 7 || '/' || ['Cargo.toml', 'package.json', 'pyproject.toml', 'go.mod'][1 + doc_id % 4] AS path FROM documents),
+    """WITH m AS (SELECT 'src' || doc_id % 7 || '/' || ['pyproject.toml', 'package.json', 'go.mod', 'Cargo.toml'][1 + doc_id % 4] AS path FROM documents),
     r AS (SELECT path, CASE regexp_extract(path, '([^/]*)$', 1) WHEN 'Cargo.toml' THEN 'cargo-test' WHEN 'go.mod' THEN 'go-test' WHEN 'pyproject.toml' THEN 'pytest' END AS runner FROM m)
     SELECT runner, min(path) AS path FROM r WHERE runner IS NOT NULL GROUP BY runner""",
 )
@@ -221,5 +221,5 @@ def runner_first_marker(spark, sf_dir):
     from strandline.sources.project import marker_runners
 
     d = b.table(spark, sf_dir, "documents")
-    name = F.element_at(F.array(*map(F.lit, ("Cargo.toml", "package.json", "pyproject.toml", "go.mod"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("pyproject.toml", "package.json", "go.mod", "Cargo.toml"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return marker_runners(d.select(F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), name).alias("path")).withColumn("content", F.lit("{}")))
