@@ -169,23 +169,59 @@ def longest_up_path(edges: DataFrame, target, entries: DataFrame, max_nodes: int
     """(score, path): the best chain of callers that ends at the target, path from its top.
 
     A chain scores its number of nodes, and 1000 more if it starts at an entry; ties
-    go to the smallest path. Chains are simple and of at most max_nodes nodes. The
-    rows carried are the simple paths, so it is meant for one target.
+    go to the smallest path. Chains are simple and of at most max_nodes nodes. Sets of
+    nodes from which walks of each length lead to the target are joined level by level;
+    one path at a time then grows within them, smallest node first, so no table of paths
+    is made. Where walks of a length exist and simple paths do not, the search tries
+    every walk.
     """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
-    up = materialize(edges.select("src", "dst").distinct(), "chain-edges")
-    chains = spark.range(1).select(F.array(F.lit(target).cast(kind)).alias("path"))
-    every = chains
-    for _ in range(max_nodes - 1):
-        grown = chains.join(up, F.col("dst") == F.col("path")[0]).filter(~F.array_contains("path", F.col("src")))
-        chains = materialize(grown.select(F.concat(F.array("src"), "path").alias("path")), "chains")
-        if chains.isEmpty():
-            break
-        every = every.unionByName(chains)
-    top = entries.select(F.col("id").alias("top"), F.lit(1000).alias("bonus"))
-    scored = every.join(top, F.col("path")[0] == F.col("top"), "left").select((F.coalesce("bonus", F.lit(0)) + F.size("path")).alias("score"), "path")
-    return scored.orderBy(F.desc("score"), "path").limit(1)
+    up = materialize(edges.select("src", "dst").filter("src != dst").distinct(), "chain-edges")
+    tops = materialize(entries.select("id").distinct(), "chain-entries")
+    onward: dict = {}
+    if up.count() <= LOCAL_WORK:
+        into: dict = {}
+        for r in up.collect():
+            into.setdefault(r["dst"], set()).add(r["src"])
+            onward.setdefault(r["src"], []).append(r["dst"])
+        levels = [{target}]
+        for _ in range(max_nodes - 1):
+            levels.append({s for d in levels[-1] for s in into.get(d, ())} - {target})
+        top = {r["id"] for r in tops.collect()}
+        starts = lambda left, rooted: iter(sorted(levels[left] & top if rooted else levels[left]))
+        steps = lambda x, left: sorted(d for d in onward.get(x, ()) if d in levels[left - 1])
+    else:
+        levels = [spark.range(1).select(F.lit(target).cast(kind).alias("id"))]
+        for _ in range(max_nodes - 1):
+            last = levels[-1].select(F.col("id").alias("dst"))
+            levels.append(materialize(up.join(last, "dst", "left_semi").filter(F.col("src") != F.lit(target)).select(F.col("src").alias("id")).distinct(), "chain-level"))
+
+        def starts(left, rooted):
+            own, last = levels[left].join(tops, "id", "left_semi") if rooted else levels[left], None
+            while (last := (own if last is None else own.filter(F.col("id") > F.lit(last))).agg(F.min("id")).first()[0]) is not None:
+                yield last
+
+        def steps(x, left):
+            if (x, left) not in onward:
+                ahead = levels[left - 1].select(F.col("id").alias("dst"))
+                onward[x, left] = sorted(r["dst"] for r in up.filter(F.col("src") == F.lit(x)).join(ahead, "dst", "left_semi").collect())
+            return onward[x, left]
+
+    def grow(path, left):
+        if left == 0:
+            return path
+        for d in steps(path[-1], left):
+            if d not in path and (found := grow([*path, d], left - 1)):
+                return found
+        return None
+
+    for bonus in (1000, 0):
+        for n in range(max_nodes, 0, -1):
+            for first in starts(n - 1, bonus > 0):
+                if best := grow([first], n - 1):
+                    return spark.range(1).select(F.lit(bonus + n).alias("score"), F.array(*[F.lit(x).cast(kind) for x in best]).alias("path"))
+    raise ValueError("max_nodes is at least 1")
 
 
 def confidence_rank(column: str | Column) -> Column:
@@ -240,15 +276,18 @@ def two_tier_impact(edges: DataFrame, seeds: DataFrame, depth: int = 32) -> Data
     return reachable(up.unionByName(lift), seeds, "up", depth)
 
 
-def mutual_reach_layers(edges: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, layer): longest-path layers; nodes left on cycles after the rounds share the last layer.
+def mutual_reach_layers(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, layer): longest-path layers; nodes left on or behind cycles share the last layer.
 
-    Layer by layer, nodes whose predecessors all have a layer are placed (Kahn's order).
+    Layer by layer, nodes whose predecessors all have a layer are placed (Kahn's order),
+    until none is free; rounds ends that sooner. Few edges by count are walked on the driver.
     """
     left = materialize(nodes.select("id").distinct(), "layer-nodes")
     own = materialize(edges.filter("src != dst").select("src", "dst").distinct(), "layer-edges")
+    if own.count() + left.count() <= LOCAL_WORK:
+        return _layers_here(own, left, rounds)
     out, layer = None, 0
-    while layer < rounds:
+    while rounds is None or layer < rounds:
         held = own.select(F.col("dst").alias("id")).distinct()
         free = materialize(left.join(held, "id", "left_anti").withColumn("layer", F.lit(layer)), "layer")
         if free.isEmpty():
@@ -261,6 +300,30 @@ def mutual_reach_layers(edges: DataFrame, nodes: DataFrame, rounds: int = 32) ->
     return rest if out is None else out.unionByName(rest)
 
 
+def _layers_here(own: DataFrame, nodes: DataFrame, rounds: int | None) -> DataFrame:
+    """The same layers by a walk over the counted, small tables."""
+    onward: dict = {}
+    held: dict = {}
+    for r in own.collect():
+        onward.setdefault(r["src"], []).append(r["dst"])
+        held[r["dst"]] = held.get(r["dst"], 0) + 1
+    left = {r["id"] for r in nodes.collect()}
+    rows, layer = [], 0
+    free = [x for x in left if not held.get(x)]
+    while free and (rounds is None or layer < rounds):
+        rows += [(x, layer) for x in free]
+        left.difference_update(free)
+        ready = []
+        for x in free:
+            for d in onward.get(x, ()):
+                held[d] -= 1
+                if not held[d] and d in left:
+                    ready.append(d)
+        free, layer = ready, layer + 1
+    rows += [(x, layer) for x in left]
+    return nodes.sparkSession.createDataFrame(rows, nodes.withColumn("layer", F.lit(0)).schema)
+
+
 def first_parents(edges: DataFrame) -> DataFrame:
     """(id, parent): the first contains edge of each node, by its place `seq`."""
     own = Window.partitionBy("dst").orderBy("seq", "src")

@@ -204,7 +204,7 @@ def siblings(spark, sf_dir):
 def topo_layers(spark, sf_dir):
     """Longest-path layers of the acyclic part."""
     e = b.part_chain(spark, sf_dir).filter("src < dst")
-    return traversal.mutual_reach_layers(e, e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), 40)
+    return traversal.mutual_reach_layers(e, e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
 
 
 @query("ledger_latest", f"WITH {b.LEDGER} SELECT key, seq, text FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM lg) WHERE r = 1 AND op <> 'del'")
