@@ -10,7 +10,7 @@ from strandline.llm.common import materialize
 SEED = 17
 #: Without weights of its own, a source's target is its share to this power.
 TEMPERATURE = 0.5
-#: A document's mean repetition is at most this, so a count's distribution stays a short array.
+#: Means up to this come from one uniform; larger ones are sums of equal Poisson parts, so a distribution stays a short array.
 MAX_RATE = 16.0
 
 
@@ -32,12 +32,13 @@ def poisson_steps(rate: Column, terms: int = 64) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """(source, n, rate, steps): mean repetitions that give each source its target share of the rows.
+    """(source, n, rate, parts, steps): mean repetitions that give each source its target share of the rows.
 
     Target shares are the given weights (sources without one get weight zero) or
     the shares to the power of the temperature, scaled to sum to one. The mixed
-    size equals the input's in expectation, unless a rate meets MAX_RATE.
-    Null is a source of its own. One row a source, after partial counts.
+    size equals the input's in expectation. A rate is shared by parts of at most
+    MAX_RATE; steps are those of one part. Null is a source of its own. One row
+    a source, after partial counts.
     """
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
@@ -48,8 +49,9 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
             weight = F.when(F.col("source") == name, float(w)).otherwise(weight)
     weighed = materialize(sizes.withColumn("w", weight), "mix-sizes")
     all_w, all_n = weighed.agg(F.sum("w"), F.sum("n")).first()
-    rate = F.least(F.lit(MAX_RATE), F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n")) if all_w else F.lit(0.0)
-    return weighed.select("source", "n", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
+    rate = F.col("w") / F.lit(all_w) * F.lit(all_n) / F.col("n") if all_w else F.lit(0.0)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int"))
+    return weighed.select("source", "n", rate.alias("rate")).withColumn("parts", parts).withColumn("steps", poisson_steps(F.col("rate") / F.col("parts")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -61,11 +63,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     that is the method's sampling. Rows with a null doc_id share one hash;
     repeated rows repeat together. An empty table gives an empty result.
     """
-    columns = [c for c in docs.columns if c not in ("rate", "steps", "n_copies", "copy", "mix_key", "_u", "_n", "_src")]
-    rates = materialize(source_rates(docs, weights, temperature), "mix-rates").select(F.col("source").alias("_src"), "rate", "steps")
-    count = F.size(F.filter("steps", lambda c: F.col("_u") >= c))
+    columns = [c for c in docs.columns if c not in ("rate", "steps", "n_copies", "copy", "mix_key", "_u", "_n", "_src", "_parts")]
+    rates = materialize(source_rates(docs, weights, temperature), "mix-rates").select(F.col("source").alias("_src"), "rate", F.col("parts").alias("_parts"), "steps")
+    own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    below = lambda u: F.size(F.filter("steps", lambda c: u >= c))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("_parts")), F.lit(0), lambda n, i: n + below(uniform(F.lit(seed), own_id, i)))
+    count = below(F.col("_u")) + F.when(F.col("_parts") > 1, more).otherwise(0)
     counted = (
-        docs.select(*columns).withColumn("_u", uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        docs.select(*columns).withColumn("_u", uniform(F.lit(seed), own_id))
         .join(rates, F.col("source").eqNullSafe(F.col("_src")))
         .withColumn("n_copies", count)
         .filter("n_copies > 0")

@@ -199,3 +199,11 @@ def test_mixing_rates(spark, odd_docs, no_docs):
     assert set(odd_docs.columns) < set(out.columns) and mixing.mix(no_docs).count() == 0
     keys = [r.mix_key for r in mixing.mix(df).collect()]
     assert keys == sorted(keys)
+
+
+def test_mixing_meets_targets_of_small_sources(spark):
+    df = spark.createDataFrame([(i, "big" if i < 3960 else "small") for i in range(4000)], "doc_id long, source string")
+    got = {r["source"]: r["count"] for r in mixing.mix(df, {"big": 1, "small": 1}).groupBy("source").count().collect()}
+    assert abs(got["small"] - 2000) < 250 and abs(got["big"] - 2000) < 250
+    counts = [r["count"] for r in mixing.mix(df, {"big": 1, "small": 1}).filter("source = 'small'").groupBy("doc_id").count().collect()]
+    assert 20 < np.var(counts) < 120  # a Poisson count of mean 50
