@@ -213,22 +213,54 @@ KINDS = ("email", "secret", "iban", "ip", "day", "ssn", "card", "phone")
 _LIKELY = re.compile(r"\d|@|(?i:token|secret|key|passw)")
 
 
-def find(text: str):
-    """Yield (kind, start, end) of candidate values."""
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
-        yield kind, m.start(kind), m.end(kind)
+#: Whole groups of digits, and of capitals and digits, from which a failed candidate's other readings are made.
+_GROUP = {"card": re.compile(r"[ -]?(\d+)(?!\w)"), "iban": re.compile(r" ?([A-Z0-9]+)(?![A-Za-z0-9])")}
+_MOST = {"card": 19, "iban": 34}
+
+
+def _shorter(kind: str, text: str, a: int, b: int, using: Pseudonymizer) -> tuple[int, str] | None:
+    """(end, pseudonym) of the longest valid value of whole groups from a on and other than [a, b)."""
+    ends, size, at = [], 0, a
+    while (m := _GROUP[kind].match(text, at)) and (m.start() == m.start(1) or at > a):
+        size, at = size + len(m[1]), m.end()
+        if size > _MOST[kind]:
+            break
+        ends.append(at)
+    for end in reversed(ends):
+        if end != b and (new := using.replace(kind, text[a:end])) is not None:
+            return end, new
+    return None
+
+
+def find(text: str, start: int = 0):
+    """(kind, start, end) of the first candidate value at or after start, or None."""
+    m = PATTERN.search(text, start)
+    if m is None:
+        return None
+    kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
+    return kind, m.start(kind), m.end(kind)
 
 
 def pseudonymize(text: str | None, using: Pseudonymizer) -> tuple[str | None, dict[str, int]]:
-    """The text with its validated values replaced, and their number by kind."""
+    """The text with its validated values replaced, and their number by kind.
+
+    Where a card or an IBAN fails validation, its other lengths in whole groups are
+    tried, and the search goes on one group after its start.
+    """
     if not text or not _LIKELY.search(text):
         return text, {}
-    out, at, counts = [], 0, {}
-    for kind, a, b in find(text):
-        new = using.replace(kind, text[a:b])
-        if new is None and kind == "card":  # digits in groups may still be a phone number
-            new, kind = (using.replace("phone", text[a:b]) if text[a - 1 : a] == "+" else None), "phone"
+    out, at, start, counts = [], 0, 0, {}
+    while (found := find(text, start)) is not None:
+        kind, a, b = found
+        new, start = using.replace(kind, text[a:b]), b
+        if new is None and kind in _GROUP:
+            if other := _shorter(kind, text, a, b, using):
+                b, new = other
+                start = b
+            elif kind == "card" and text[a - 1 : a] == "+":  # digits in groups may still be a phone number
+                new, kind = using.replace("phone", text[a:b]), "phone"
+            if new is None:
+                start = _GROUP[found[0]].match(text, a).end() if _GROUP[found[0]].match(text, a) else a + 1
         if new is not None:
             out += [text[at:a], new]
             at, counts[kind] = b, counts.get(kind, 0) + 1
