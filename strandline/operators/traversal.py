@@ -22,6 +22,8 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 
 #: Seeds times edges up to which a walk runs on the driver: its size is counted first, as for a broadcast.
 LOCAL_WORK = 2_000_000
+#: Hops of a walk that ends by itself, when a level is empty.
+UNTIL_EMPTY = 1 << 30
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str = "down") -> DataFrame:

@@ -43,21 +43,21 @@ def flow_roots(spark, sf_dir):
 def flow_depth(spark, sf_dir):
     """G2."""
     e = b.part_chain(spark, sf_dir)
-    return traversal.flow_depth(_chain_nodes(e), e, 24)
+    return traversal.flow_depth(_chain_nodes(e), e, traversal.UNTIL_EMPTY)
 
 
 @query("reach_down", _walk(DOWN, most=16) + "SELECT id, min(hop) AS hop FROM bf GROUP BY id HAVING min(hop) > 0")
 def reach_down(spark, sf_dir):
     """G3."""
     e = b.part_chain(spark, sf_dir)
-    return traversal.reachable(e, b.seed(e), "down", 16)
+    return traversal.reachable(e, b.seed(e), "down", traversal.UNTIL_EMPTY)
 
 
 @query("reach_up", _walk(UP, "SELECT max(dst) FROM pc", 16) + "SELECT id, min(hop) AS hop FROM bf GROUP BY id HAVING min(hop) > 0")
 def reach_up(spark, sf_dir):
     """G3."""
     e = b.part_chain(spark, sf_dir)
-    return traversal.reachable(e, e.agg(F.max("dst").alias("id")).filter("id IS NOT NULL"), "up", 16)
+    return traversal.reachable(e, e.agg(F.max("dst").alias("id")).filter("id IS NOT NULL"), "up", traversal.UNTIL_EMPTY)
 
 
 @query(
@@ -88,7 +88,7 @@ def explanatory_chain(spark, sf_dir):
     """Best chain of callers of the smallest target; brute force in the tests."""
     e = b.part_chain(spark, sf_dir)
     target = e.agg(F.min("dst")).first()[0]
-    best = traversal.longest_up_path(e, target, _chain_nodes(e).filter("t = 'entry'"), max_nodes=6)
+    best = traversal.longest_up_path(e, target, _chain_nodes(e).filter("t = 'entry'"))
     return best.select("score", F.posexplode("path").alias("step", "id"))
 
 
@@ -108,14 +108,14 @@ SELECT id, min(hop) AS hop, CASE WHEN id IN (SELECT id FROM bx) THEN 'exact' ELS
 def impact_down(spark, sf_dir):
     """G8, A12, X28."""
     e = b.typed_chain(spark, sf_dir)
-    return traversal.impact(e, b.seed(e), "down", 12)
+    return traversal.impact(e, b.seed(e), "down")
 
 
 @query("impact_both", _impact("SELECT src AS a, dst AS b FROM tc UNION SELECT dst, src FROM tc", EXACT + " UNION SELECT dst, src FROM tc WHERE confidence = 'exact'", "SELECT min(src) FROM tc", 6))
 def impact_both(spark, sf_dir):
     """G8, undirected at every step."""
     e = b.typed_chain(spark, sf_dir)
-    return traversal.impact(e, b.seed(e), "both", 6)
+    return traversal.impact(e, b.seed(e), "both")
 
 
 @query(
@@ -128,7 +128,7 @@ def impact_up_tests(spark, sf_dir):
     """Tests of the affected, the strongest edge of each."""
     e = b.typed_chain(spark, sf_dir)
     seeds = e.agg(F.max("dst").alias("id"))
-    hit = traversal.reachable(e, seeds, "up", 8).select("id").unionByName(seeds)
+    hit = traversal.reachable(e, seeds, "up", 32).select("id").unionByName(seeds)
     li = b.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
     tests = li.select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.col("l_partkey").alias("dst"), F.lit("tests").alias("type"),
@@ -141,7 +141,7 @@ def impact_up_tests(spark, sf_dir):
 def importers_by_hop(spark, sf_dir):
     """G9."""
     e = b.typed_chain(spark, sf_dir).withColumn("type", F.when(F.col("type") == "import", "imports").otherwise("calls"))
-    return traversal.importers_by_hop(e, e.filter("type = 'imports'").agg(F.max("dst").alias("id")).filter("id IS NOT NULL"), 16)
+    return traversal.importers_by_hop(e, e.filter("type = 'imports'").agg(F.max("dst").alias("id")).filter("id IS NOT NULL"))
 
 
 @query(
@@ -169,7 +169,7 @@ def two_tier_impact(spark, sf_dir):
     """Up through imports and from members to what holds them."""
     e = b.file_edges(spark, sf_dir).filter("(type = 'imports' AND src LIKE 's%') OR type = 'part-of'")
     seeds = e.filter("type = 'imports'").agg(F.min("dst").alias("id"))
-    return traversal.two_tier_impact(e, seeds, 4)
+    return traversal.two_tier_impact(e, seeds)
 
 
 @query(
@@ -183,7 +183,7 @@ def two_tier_impact(spark, sf_dir):
 def context_counts(spark, sf_dir):
     """Direct and transitive counts on both sides."""
     e = b.part_chain(spark, sf_dir)
-    side = lambda d: traversal.reachable(e, b.seed(e), d, 16).agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive")).select(F.lit(d).alias("dir"), "direct", "transitive")
+    side = lambda d: traversal.reachable(e, b.seed(e), d, traversal.UNTIL_EMPTY).agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive")).select(F.lit(d).alias("dir"), "direct", "transitive")
     return side("down").unionByName(side("up"))
 
 
@@ -271,7 +271,7 @@ def drift_dependents(spark, sf_dir):
     """Dependents of many changed nodes in one walk."""
     old, new = b.snapshots(spark, sf_dir)
     changed = notes.drifted(old, new).filter("path = 's7'").select(F.substring("name", 2, 20).cast("long").alias("id")).distinct()
-    return notes.drift_dependents(b.typed_chain(spark, sf_dir), changed, 4)
+    return notes.drift_dependents(b.typed_chain(spark, sf_dir), changed)
 
 
 REFS = f"""{b.SNAPSHOTS}, gone AS (SELECT o.path, o.name FROM old_s o WHERE NOT EXISTS (SELECT 1 FROM new_s n WHERE n.path = o.path AND n.name = o.name)),

@@ -116,3 +116,15 @@ def test_explanatory_chain_of_the_whole_chain(spark):
     path = [r["id"] for r in rows]
     assert path[-1] == min(b for _, b in e) and len(set(path)) == len(path) and set(zip(path, path[1:])) <= e
     assert path[0] % 70 == 0 and rows[0]["score"] == 1000 + len(path)
+
+
+def test_registered_walks_go_as_far_as_the_operators(spark, monkeypatch):
+    line = spark.createDataFrame([(i, i + 1) for i in range(1, 41)], "src long, dst long")
+    monkeypatch.setattr(bindings, "part_chain", lambda *_: line)
+    far = lambda name, column="hop": max(r[column] for r in registry.queries()[name](spark, SF).collect())
+    assert far("reach_down") == far("reach_up") == far("context_counts", "transitive") == 40
+    assert far("impact_down") == far("impact_both") == 32
+    assert registry.queries()["explanatory_chain"](spark, SF).count() == 2  # 1 -> 2, the smallest target
+    back = spark.createDataFrame([(i + 1, i) for i in range(1, 41)], "src long, dst long")
+    monkeypatch.setattr(bindings, "part_chain", lambda *_: back)
+    assert far("importers_by_hop") == 1 and registry.queries()["explanatory_chain"](spark, SF).count() == 12
