@@ -11,10 +11,12 @@ from strandline.llm.common import materialize
 from strandline.llm.components import Forest, components
 
 COSINE = 0.93
-#: Tables, probes of a vector in each table, and rotations that make one bucket key.
-#: At cosine 0.93 and 64 dimensions a pair shares no bucket with probability under 0.001
-#: (measured with random pairs, two rotations); three rotations take the larger sets.
+#: Rotations that make one bucket key -> tables, and probes of a vector in each. At cosine
+#: 0.93 and 64 dimensions a random pair shares no bucket with probability under 0.001 with
+#: two rotations and under 0.01 with three, which cut buckets to a hundredth. The number of
+#: rotations is the caller's choice; it never follows from the input.
 SETTINGS = {2: (8, 2), 3: (12, 4)}
+ROTATIONS = 2
 #: Entries of one bucket beyond which it is dealt to several tasks in blocks.
 HOT_BUCKET = 8192
 
@@ -172,33 +174,33 @@ def _verify(threshold: float, rotations: int):
 
 
 def embedding_duplicates(
-    vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label"
+    vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", rotations: int = ROTATIONS
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Pairs of equal, non-null labels link at the given cosine in double precision.
     Null, empty, zero and non-finite vectors, and rows with a null label, link
-    with nothing and are their own component. Vectors of different widths never
-    link. Rows that repeat a vec_id count as copies of that vector if their
+    with nothing and are their own component. A row with a null vec_id takes no
+    part: 0 links, null component, not kept. Labels may be of any type that
+    compares. Vectors of different widths never link. Rows that repeat a vec_id count as copies of that vector if their
     embedding and label agree. Equal vectors collapse to one class first, which
     counts its members; links of a class are those of each member. Extra columns
     are ignored; an empty table gives an empty result.
     """
     ok = usable("vec") & F.col("label").isNotNull() & F.exists("vec", lambda x: x != 0)
     kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats stay narrow in shuffles
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).cast("long").alias("label"))
-    keys = [F.when(ok, F.xxhash64(F.lit(s), "label", "vec")) for s in (1, 2)]
+    label_kind = "long" if vectors.schema[label_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).cast(label_kind).alias("label"))
+    keys = [F.when(ok & F.col("vec_id").isNotNull(), F.xxhash64(F.lit(s), "label", "vec")) for s in (1, 2)]
     base = base.withColumns({"k1": keys[0], "k2": keys[1]})
     classes = (
-        base.filter(F.col("k1").isNotNull() & F.col("vec_id").isNotNull())
+        base.filter(F.col("k1").isNotNull())
         .groupBy("k1", "k2")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"), F.first("label").alias("label"))
     )
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    rotations = 2 if largest < 4_000_000 else 3
     tables, probes = SETTINGS[rotations]
     coded = materialize(
-        classes.mapInArrow(_with_codes(rotations), f"k1 long, k2 long, rep long, n long, vec {kind}, label long, codes array<int>"),
+        classes.mapInArrow(_with_codes(rotations), f"k1 long, k2 long, rep long, n long, vec {kind}, label {label_kind}, codes array<int>"),
         "vec-classes",
     )
     slots = coded.select("*", F.posexplode("codes").alias("slot", "code")).filter("code >= 0").withColumn("tbl", (F.col("slot") / probes).cast("long"))
@@ -235,40 +237,118 @@ def embedding_duplicates(
         base.select("vec_id", "k1", "k2")
         .join(by_class, ["k1", "k2"], "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )
 
 
 QUERY_BLOCK = 1024
 SHARD_ROWS = 8192
+#: Rows whose bounds hold together, and terms traversed or probed before rows are tested again.
+CHUNK_ROWS, STEP = 1024, 8
 
 
-def maxscore_shard(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int, low: np.ndarray, high: np.ndarray):
-    """Top k (score, id) of one query against one shard of signed postings, exactly.
+class Shard:
+    """Postings of a shard's rows in chunks, a term being a dimension, with the bounds of each chunk.
 
-    A dimension is a term whose postings are a column of x; its contributions lie
-    within bounds known from the column's extremes. Terms with the widest bounds
-    are essential: they are traversed for all rows. Then the rest are probed, in
-    order of bound, only for rows that could still reach the k-th best score.
+    Values are integers held exactly: as doubles where no sum can leave 53 bits,
+    else as 64-bit integers, else as Python's. Rows of like direction share a
+    chunk, which keeps its bounds close.
     """
-    upper = np.maximum(q * low, q * high)
-    lower = np.minimum(q * low, q * high)
-    order = np.argsort(-(upper - lower), kind="stable")
-    cut, rows = max(8, len(q) // 4), np.flatnonzero(ids != own)
-    if not len(rows):
-        return rows, rows
-    score = x[rows][:, order[:cut]] @ q[order[:cut]]
-    while cut < len(q):
-        rest_low, rest_high = lower[order[cut:]].sum(), upper[order[cut:]].sum()
-        if len(rows) > k:
-            reach = np.partition(score, len(score) - k)[-k] + rest_low
-            keep = score + rest_high >= reach
-            rows, score = rows[keep], score[keep]
-        step = order[cut : cut + max(8, len(q) // 4)]
-        score = score + x[rows][:, step] @ q[step]
-        cut += len(step)
-    best = np.lexsort((ids[rows], -score))[:k]
-    return rows[best], score[best]
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, largest: int) -> None:
+        most = x.shape[1] * int(np.abs(x.astype(object)).max(initial=0)) * largest
+        kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+        lead = np.abs(x.astype(np.float64)).argmax(1)
+        order = np.lexsort((ids, np.take_along_axis(x, lead[:, None], 1)[:, 0] < 0, lead))
+        self.kind, self.width, self.chunks = kind, x.shape[1], []
+        for i in range(0, len(order), CHUNK_ROWS):
+            own = x[order[i : i + CHUNK_ROWS]].T
+            squares = own.astype(np.float64) ** 2
+            self.chunks.append((np.ascontiguousarray(own.astype(kind)), ids[order[i : i + CHUNK_ROWS]], own.min(1).astype(kind), own.max(1).astype(kind), squares, squares.sum(0)))
+
+
+def maxscore(q: np.ndarray, shard: Shard, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, multiplications done) of one query's k best rows in a shard, exactly.
+
+    floor is a score that the final k-th best is known to reach. In each chunk the
+    score bounds split the terms by the threshold so far: those that together,
+    were all others at their least, cannot lift a row to it are non-essential.
+    Essential terms are traversed for all rows, and none are where even all
+    terms' bounds fall short. The others are probed, widest first, only for rows
+    still competitive: what is left of a row is at most the sum of its terms'
+    bounds, and at most the product of the norms of what is left.
+    """
+    q = q.astype(shard.kind)
+    best_ids, best, work = np.zeros(0, np.int64), np.zeros(0, shard.kind), 0
+    for x, ids, low, high, squares, norms in shard.chunks:
+        need = floor
+        if len(best) >= k and (need is None or best[-1] > need):
+            need = best[-1]
+        a, b = q * low, q * high
+        upper, lower = np.maximum(a, b), np.minimum(a, b)
+        order = np.argsort((upper - lower).astype(np.float64), kind="stable")  # narrowest first
+        cut = 0
+        if need is not None:
+            # reach[n]: the highest score when all but the n narrowest terms are at their least
+            reach = np.concatenate([[0], np.cumsum((upper - lower)[order])]) + lower.sum()
+            cut = int((reach < need).sum()) - 1  # terms that cannot lift a row to the threshold
+            if cut == len(q):
+                continue
+            cut = max(cut, 0)
+        essential, others, slack = order[cut:], order[:cut][::-1], 1e-13 * norms.max(initial=0.0)  # for the rounding of what is left
+        if len(others) == 0 and need is not None:  # no term can be left out at once: traverse the widest half
+            essential, others = order[len(q) // 2 :], order[: len(q) // 2][::-1]
+        rows = np.flatnonzero(ids != own)
+        score = (q[essential] @ x[essential])[rows]
+        work += len(essential) * len(ids)
+        left = (norms - squares[essential].sum(0))[rows]
+        for i in range(0, len(others), STEP):
+            if need is not None:
+                rest = others[i:]
+                by_norm = np.sqrt((np.maximum(left, 0.0) + slack) * (q[rest].astype(np.float64) ** 2).sum()) * (1 + 1e-9) + 1.0
+                most = np.minimum(by_norm, float(upper[rest].sum()) + 1.0)
+                keep = score.astype(np.float64) + most + np.abs(score.astype(np.float64)) * 1e-12 >= float(need)
+                if not keep.any():
+                    rows = rows[:0]
+                    break
+                rows, score, left = rows[keep], score[keep], left[keep]
+            step = others[i : i + STEP]
+            part = x[np.ix_(step, rows)]
+            score = score + q[step] @ part
+            left = left - squares[np.ix_(step, rows)].sum(0)
+            work += len(step) * len(rows)
+        if need is not None:
+            keep = score[: len(rows)] >= need
+            rows, score = rows[keep], score[: len(keep)][keep]
+        if len(rows):
+            best_ids, best = np.concatenate([best_ids, ids[rows]]), np.concatenate([best, score])
+            first = np.lexsort((best_ids, -best.astype(object) if shard.kind is object else -best))
+            best_ids, best = best_ids[first], best[first]
+            if len(best) > 1:  # rows may repeat an id: its best stands
+                seen = np.sort(np.unique(best_ids, return_index=True)[1])[:k]
+                best_ids, best = best_ids[seen], best[seen]
+    return best_ids, best, work
+
+
+def _score_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of each query's k best rows in each shard it meets."""
+
+    def run(qs: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if qs.num_rows and rows.num_rows:
+            one = lambda t: t["q"].combine_chunks() if t["q"].num_chunks != 1 else t["q"].chunk(0)
+            q, x = _matrix(one(qs), np.int64), _matrix(one(rows), np.int64)
+            shard = Shard(x, rows["vec_id"].to_numpy(), int(np.abs(q.astype(object)).max(initial=0)))
+            qid, floor = qs["vec_id"].to_numpy(), qs["floor"].to_pylist()
+            for i in np.argsort(qid, kind="stable").tolist():
+                ids, score, _ = maxscore(q[i], shard, qid[i], k, floor[i])
+                for col, values in zip(out, ([int(qid[i])] * len(ids), ids.tolist(), [int(s) for s in score])):
+                    col.extend(values)
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+
+    by = ["blk", "width", "shard"]
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from one table
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_inner_products(
@@ -276,12 +356,15 @@ def top_inner_products(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query.
 
-    Components become floor(scale * x). Candidates are all rows but the query's
-    own id; ties go to the smaller vec_id, and repeated ids to the best of their
-    rows. Null, empty or non-finite vectors and null ids take no part; vectors
-    only meet others of their width. Shards and query blocks have fixed sizes and
-    meet on a block number, so neither side is broadcast and each task holds one
-    block of each. Fewer than k candidates give fewer rows; no query, no rows.
+    Components become floor(scale * x), saturated at 64 bits; a score beyond 64
+    bits raises. Candidates are all rows but those of the query's own id; ties go
+    to the smaller vec_id, and repeated ids to the best of their rows. Null,
+    empty or non-finite vectors and null ids take no part; vectors only meet
+    others of their width. Shards and query blocks have fixed sizes and meet on a
+    block number, so neither side is broadcast and each task holds one block of
+    each. All queries meet the first shard first; the k-th score found there is
+    their threshold in all others. Fewer than k candidates give fewer rows; no
+    query, no rows.
     """
     whole = vectors.withColumns({"_id": F.col(id_col).cast("long"), "vec": F.col(vec_col).cast("array<double>")}).filter(F.col("_id").isNotNull() & usable("vec"))
     base = materialize(
@@ -289,30 +372,19 @@ def top_inner_products(
     )
     n, nq = base.agg(F.count("*"), F.count_if("is_query")).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // QUERY_BLOCK))
-    width = F.size("q").alias("width")
-    queries = base.filter("is_query").select(
-        F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).alias("blk"), width, F.lit(None).cast("long").alias("shard"), "vec_id", "q"
-    )
+    queries = base.filter("is_query").select(F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).alias("blk"), F.size("q").alias("width"), "vec_id", "q")
     everyone = base.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"), width, F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(shards)).alias("shard"), "vec_id", "q"
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"), F.size("q").alias("width"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(shards)).alias("shard"), "vec_id", "q"
     )
-    spread = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            qs, x = (_matrix(t["q"].combine_chunks() if t["q"].num_chunks != 1 else t["q"].chunk(0)) for t in (left, right))
-            qid, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            low, high = x.min(0), x.max(0)
-            most = k * int(np.unique(ids, return_counts=True)[1].max())  # ids may repeat with other vectors
-            for i in np.argsort(qid, kind="stable").tolist():
-                rows, score = maxscore_shard(qs[i], x, ids, qid[i], most, low, high)
-                for col, values in zip(out, ([int(qid[i])] * len(rows), ids[rows].tolist(), score.astype(np.int64).tolist())):
-                    col.extend(values)
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
-
-    by = ["blk", "width", "shard"]
-    hits = spread.groupBy(*by).cogroup(everyone.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    hits = _score_blocks(queries.select("blk", "width", zero.alias("shard"), "vec_id", "q", none.alias("floor")), everyone.filter("shard = 0"), k)
+    if shards > 1:
+        hits = materialize(hits, "topk-first")
+        found = hits.groupBy(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("hit")).agg(F.max("score").alias("score"))
+        floors = found.groupBy("vec_id").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))  # at most k a query vector
+        floors = floors.filter(F.size("scores") >= k).select("vec_id", F.element_at("scores", k).alias("floor"))
+        spread = queries.join(floors, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))))
+        hits = hits.unionByName(_score_blocks(spread.select("blk", "width", "shard", "vec_id", "q", "floor"), everyone.filter("shard > 0"), k))
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
