@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from bisect import bisect_left, insort
 
@@ -18,9 +19,10 @@ END_ID = 1
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Rows that one task packs at once; a partition's memory is in proportion to it.
 GROUP_ROWS = 4000
-#: Free tokens with which a bin is final, by round: full bins at first, nearly full ones later.
-SLACK = (0, 0, 1, 2, 4, 8)
+#: Rounds in a row without fewer sequences or a smaller pool, after which the packing ends uncertified.
+STALE_ROUNDS = 2
 _CACHE_ROWS = 600_000
+_log = logging.getLogger(__name__)
 
 
 def _tokenizer(vocabulary: str):
@@ -162,64 +164,82 @@ def lower_bound(histogram: np.ndarray, capacity: int = CAPACITY) -> int:
 
 
 def _pack_groups(items: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
-    """Pack each hash group by best-fit decreasing; every row tells its bin's fill and its group's bound."""
-    kind = "uid long, length long, seq long, offset long, fill long, bins long, bound long"
+    """Pack each hash group by best-fit decreasing; every row tells whether its bin is final.
+
+    Full bins are. A group whose bin count meets its dual-feasible-function bound
+    is certified: all its bins are final but the least filled, whose items go on,
+    so that what groups lose by rounding does not add up. A group with a gap keeps
+    its full bins only.
+    """
+    kind = "uid long, length long, seq long, offset long, final boolean, certified boolean"
 
     def run(table: pa.Table) -> pa.Table:
         uid, length = table["uid"].to_numpy(), table["length"].to_numpy()
         order = np.argsort(uid, kind="stable")
         uid, length = uid[order], length[order]
         b, offset, fill = best_fit_decreasing(length, capacity)
-        bound = lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        certified = len(fill) == lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
+        final = np.full(len(fill), certified)
+        final[fill.argmin()] = False
+        final |= fill == capacity
         group = int(table["grp"][0].as_py())
         seq = (turn << 56) + (group << 24) + b
-        n = len(uid)
-        return pa.table(
-            [uid, length, seq, offset, fill[b], np.full(n, len(fill)), np.full(n, bound)],
-            names=["uid", "length", "seq", "offset", "fill", "bins", "bound"],
-        )
+        return pa.table([uid, length, seq, offset, final[b], np.full(len(uid), certified)], names=["uid", "length", "seq", "offset", "final", "certified"])
 
     grouped = items.withColumn("grp", F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(groups)))
     return grouped.select("grp", "uid", "length").groupBy("grp").applyInArrow(run, kind)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, rounds: int = 8, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(uid, sequence_id, offset) for items(uid long, length long in 1..capacity).
+def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(uid, sequence_id, offset) for items(uid long, length long in 1..capacity); see pack_certified()."""
+    return pack_certified(items, capacity, group_rows)[0]
+
 
-    Groups of a bounded size are packed apart. Bins with no or hardly any space
-    left are final; where a group has more bins than its lower bound or the sum
-    over groups exceeds the bound of all items, the loose bins give their items
-    back, which are dealt anew, in fewer groups, and packed again. It ends when
-    the total meets the bound of the whole input (certified), when one group
-    holds all loose items, or after the given rounds. Empty input: empty result.
+def pack_certified(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, int, int]:
+    """((uid, sequence_id, offset), sequences, lower bound of the whole input).
+
+    Groups of a bounded size are packed apart. Groups that meet their lower bound
+    are frozen (but for their least filled bin); those with gaps give back what
+    lies in bins with space left. All given back is dealt anew, in fewer groups,
+    and packed again. It ends when the total meets the bound of the whole input
+    (then it is certified as least), when one group holds the rest, or when
+    rounds bring neither fewer sequences nor a smaller pool. The outcome is
+    logged. Empty input: empty result.
     """
-    spark = items.sparkSession
     items = materialize(items.select("uid", "length"), "pack-items")
     hist = np.zeros(capacity + 1, np.int64)
     for w, n in items.groupBy("length").count().collect():  # at most one row a length
         hist[w] = n
     bound, open_rows = lower_bound(hist, capacity), int(hist.sum())
-    done, closed = [], 0
-    for turn in range(rounds):
+    done, closed, turn, stale, least, here = [], 0, 0, 0, None, None
+    while True:
         groups = max(1, -(-open_rows // group_rows))
         packed = materialize(_pack_groups(items, groups, turn, capacity), "pack-round")
-        bins = packed.groupBy("seq").agg(F.first("fill").alias("fill"), F.first("bins").alias("b"), F.first("bound").alias("lb"))
-        slack = SLACK[min(turn, len(SLACK) - 1)]
-        tight = F.col("fill") >= capacity - slack
-        n_tight, n_all = bins.agg(F.count_if(tight), F.count("*")).first()
-        if closed + n_all <= bound or groups == 1 or turn == rounds - 1:
-            done.append(packed)
-            break
-        done.append(packed.filter(tight))
-        closed += n_tight
-        items = materialize(packed.filter(~tight).select("uid", "length"), "pack-items")
-        open_rows = items.count()
-        if not open_rows:
+        bins = packed.groupBy("seq").agg(F.first("final").alias("final"), F.count("*").alias("n"))
+        n_bins, n_final, kept_rows = (x or 0 for x in bins.agg(F.count("*"), F.count_if("final"), F.sum(F.when(F.col("final"), F.col("n")))).first())
+        total = closed + n_bins
+        stale = 0 if least is None or total < least or kept_rows > open_rows // 100 else stale + 1
+        least = total if least is None else min(least, total)
+        if here is None or total < here[0]:  # the best packing of the present pool
+            here = (total, packed)
+        if total <= bound or groups == 1 or stale >= STALE_ROUNDS:
+            total = here[0]
+            done.append(here[1])
             break
-    out = done[0]
+        if kept_rows:
+            done.append(packed.filter("final"))
+            closed += n_final
+            items, here = materialize(packed.filter("NOT final").select("uid", "length"), "pack-items"), None
+            open_rows -= kept_rows
+            if not open_rows:
+                break
+        turn += 1
+    _log.info("%d sequences, lower bound %d: %s", total, bound, "certified" if total == bound else "not certified")
+    columns = ["uid", F.col("seq").alias("sequence_id"), "offset"]
+    out = done[0].select(*columns)
     for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("uid", F.col("seq").alias("sequence_id"), "offset")
+        out = out.unionByName(more.select(*columns))
+    return out, total, bound
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -86,3 +86,45 @@ def test_digest_is_of_the_ids(spark, documents):
     some = documents.limit(30)
     ids = {(r.doc_id, r.piece): zlib.crc32(bytes(r.ids)) for r in P.token_pieces(some).collect()}
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in P.packing_digest(some).collect()} == ids
+
+
+def totals(df, **options):
+    out, sequences, bound = P.pack_certified(df, **options)
+    rows = out.collect()
+    assert len({r.sequence_id for r in rows}) == sequences
+    return rows, sequences, bound
+
+
+def test_certified_groups_freeze(spark, monkeypatch):
+    """Groups that meet their bound give back one bin at most; only what gaps leave is packed again."""
+    rng = np.random.default_rng(7)
+    lengths = np.clip(rng.lognormal(5.5, 1.2, 20_000).astype(int) + 1, 1, 4096)
+    df = spark.createDataFrame([(i, int(w)) for i, w in enumerate(lengths)], "uid long, length long")
+    seen, real = [], P._pack_groups
+
+    def spy(items, groups, turn, capacity):
+        out = real(items, groups, turn, capacity)
+        seen.append((items.count(), groups, out.filter("certified AND NOT final").select("seq").distinct().count(), out.filter("certified").selectExpr("seq >> 24").distinct().count()))
+        return out
+
+    monkeypatch.setattr(P, "_pack_groups", spy)
+    rows, sequences, bound = totals(df, group_rows=1000)
+    assert sorted(r.uid for r in rows) == list(range(20_000)) and bound <= sequences <= bound + 5
+    assert len(seen) > 1 and seen[1][0] < 0.3 * seen[0][0]
+    assert all(loose <= certified for _, _, loose, certified in seen)
+
+
+def test_a_packing_without_certificate_ends(spark):
+    df = spark.createDataFrame([(i, w) for i, w in enumerate([1400, 1400, 1300, 2000] * 300)], "uid long, length long")
+    rows, sequences, bound = totals(df, group_rows=100)
+    assert len(rows) == 1200 and bound <= sequences <= 560
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence_id, []).append((r.offset, [1400, 1400, 1300, 2000][r.uid % 4]))
+    for own in fill.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 4096
+
+
+def test_nothing_to_pack(spark):
+    assert totals(spark.createDataFrame([], "uid long, length long")) == ([], 0, 0)
