@@ -38,7 +38,8 @@ from pyspark.sql.datasource import (
 
 from strandline.llm.common import materialize, scratch_path
 
-MANIFEST = "_manifest.json"
+#: Every commit adds a manifest of its own, named by this prefix and a UUID, so appends never touch an older one.
+MANIFEST = "_manifest"
 SPLIT_BYTES = 32 << 20
 SCHEMA = (
     "record_id string, record_type string, target_uri string, warc_date string, "
@@ -95,6 +96,16 @@ def gzip_member(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def _manifests(filesystem, root: str) -> dict[str, dict[str, list[int]]]:
+    """Manifest name -> file name -> cuts, of every commit below a folder."""
+    found = {}
+    for f in filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"):
+            with filesystem.open_input_stream(f.path, compression=None) as stream:
+                found[f.base_name] = json.loads(stream.read())
+    return found
+
+
 @dataclass
 class _Wrote(WriterCommitMessage):
     file: str
@@ -102,10 +113,13 @@ class _Wrote(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each attempt writes a file of its own; only files named by committed tasks enter the manifest."""
+    """Each attempt writes a file of its own; only files named by committed tasks enter the commit's manifest.
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    An overwriting commit publishes its manifest first and then drops older ones and their files.
+    """
+
+    def __init__(self, path: str, overwrite: bool = False) -> None:
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         filesystem, root = _open(self.path)
@@ -125,8 +139,15 @@ class WarcWriter(DataSourceArrowWriter):
         filesystem, root = _open(self.path)
         files = {m.file: m.cuts for m in messages if m is not None}
         filesystem.create_dir(root, recursive=True)
-        with filesystem.open_output_stream(posixpath.join(root, MANIFEST), compression=None) as out:
+        older = _manifests(filesystem, root) if self.overwrite else {}
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with filesystem.open_output_stream(posixpath.join(root, "." + name), compression=None) as out:
             out.write(json.dumps(files).encode())
+        filesystem.move(posixpath.join(root, "." + name), posixpath.join(root, name))  # whole or not at all
+        for manifest, held in older.items():
+            filesystem.delete_file(posixpath.join(root, manifest))
+            for file in held:
+                filesystem.delete_file(posixpath.join(root, file))
 
     def abort(self, messages) -> None:
         filesystem, root = _open(self.path)
@@ -224,16 +245,15 @@ class WarcReader(DataSourceReader):
         return True
 
     def partitions(self):
-        """Byte ranges that begin at records, from the manifest; without one, whole files."""
+        """Byte ranges that begin at records, from the manifests of all commits; without one, whole files."""
         filesystem, root = _open(self.path)
-        manifest = posixpath.join(root, MANIFEST)
-        if filesystem.get_file_info(manifest).type == fs.FileType.File:
-            with filesystem.open_input_stream(manifest, compression=None) as f:
-                files = json.loads(f.read())
-            return [_Range(n, a, b) for n, cuts in sorted(files.items()) for a, b in zip(cuts, cuts[1:]) if b > a] or [_Range("", 0, 0)]
         info = filesystem.get_file_info(root)
         if info.type == fs.FileType.File:
             return [_Range("", 0, None)]
+        manifests = _manifests(filesystem, root)
+        if manifests:
+            files = {n: cuts for held in manifests.values() for n, cuts in held.items()}
+            return [_Range(n, a, b) for n, cuts in sorted(files.items()) for a, b in zip(cuts, cuts[1:]) if b > a] or [_Range("", 0, 0)]
         found = filesystem.get_file_info(fs.FileSelector(root, recursive=True))
         names = sorted(posixpath.relpath(f.path, root) for f in found if f.base_name.endswith((".warc", ".warc.gz")))
         return [_Range(n, 0, None) for n in names] or [_Range("", 0, 0)]
@@ -312,7 +332,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], flag("payload", "true"), flag("verify", "false"))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def read_warc(spark, path: str, **options: str) -> DataFrame:
@@ -333,14 +353,15 @@ def page_records(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumns({"sha1_hex": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
-    heads = materialize(base.filter(F.col("payload_bytes") >= least).groupBy("sha1_hex").agg(F.max("page_id").alias("head")), "warc-heads")
+    sums = base.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("sha1_hex").agg(F.max("page_id").alias("head"), F.min("page_id").alias("first"))
+    heads = materialize(sums.filter("first < head").select("sha1_hex", "head"), "warc-heads")  # only of payloads that some page revisits
     revisit = F.col("page_id").isNotNull() & (F.col("page_id") < F.col("head"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.col(c))
     return base.join(heads, "sha1_hex", "left").select(
         F.coalesce(urn("page_id"), F.concat(F.lit("urn:uuid:"), F.uuid())).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("warc_date"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("warc_date"),
         "sha1_hex",
         F.when(revisit, urn("head")).alias("refers_to"),
         "payload_bytes",

@@ -74,3 +74,32 @@ def test_damaged_payload_raises(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(W.gzip_member(rec))
     with pytest.raises(Exception, match="does not match its digest"):
         W.read_warc(spark, f"file://{tmp_path}", verify="true").collect()
+
+
+def test_appends_add_up_and_overwrites_replace(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    two, one = (spark.createDataFrame(r, "page_id long, url string, html string") for r in ([(1, "u", "a"), (2, "u", "b")], [(3, "u", "c")]))
+    W.write_pages(two, path)
+    W.write_pages(one, path)
+    assert sorted(r.record_id for r in W.read_warc(spark, path).collect()) == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    W.page_records(one).write.format("warc").mode("overwrite").save(path)
+    assert [r.record_id for r in W.read_warc(spark, path).collect()] == ["urn:page:3"]
+
+
+def test_dates_are_in_utc(spark):
+    from datetime import datetime, timezone
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        said = W.page_records(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string")).first().warc_date
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert abs((datetime.strptime(said, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc) - datetime.now(timezone.utc)).total_seconds()) < 120
+
+
+def test_files_of_failed_attempts_are_not_read(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    W.write_pages(pages(spark), path)
+    (tmp_path / "w" / "part-lost.warc.gz").write_bytes(b"half a rec")
+    assert W.read_warc(spark, path).count() == 8
