@@ -61,6 +61,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with the fingerprint of each text in a further column of that name (long, two's complement)."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        worker_cache("simhash", dict)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string())
+            fps = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*names, name])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{kinds}, `{name}` long")
+
+
 def block_count(rows: int, distance: int = DISTANCE) -> int:
     """Blocks so that a bucket of unrelated fingerprints holds few rows on average.
 
@@ -209,13 +225,26 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id.
+    """docs with one row of each near-duplicate group: of the smallest doc_id, then the smallest fingerprint.
 
-    Rows that share that doc_id count as copies too. Rows with a null doc_id
-    belong to no group and stay.
+    Groups are of texts, so rows that share a doc_id and have other texts stand
+    apart: each belongs to the group of its own text. Of rows alike in doc_id and
+    fingerprint the least in (text, other columns) stays, which no rerun changes.
+    Rows with a null doc_id belong to no group and stay.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    rows = near_duplicates(named, distance)
-    heads = rows.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    columns, own = docs.columns, "__simhash_fp"
+    marked = materialize(with_fingerprint(docs, own), "simhash-docs")
+    named = marked.filter(F.col("doc_id").isNotNull())
+    groups = fingerprint_groups(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(own).alias("fp")), distance)
+    heads = materialize(  # of doc_id and fingerprint, with the number of rows that share both
+        groups.groupBy("component_id", "doc_id", "fp").agg(F.count("*").alias("rows"))
+        .groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "rows")).alias("head"))
+        .select(F.col("head.doc_id").alias("__simhash_id"), F.col("head.fp").alias("__simhash_own"), F.col("head.rows").alias("__simhash_rows")),
+        "simhash-heads",
+    )
+    match = (F.col("doc_id").cast("long") == F.col("__simhash_id")) & (F.col(own) == F.col("__simhash_own"))
+    alone = named.join(heads.filter("__simhash_rows = 1"), match, "left_semi").select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    least = F.min_by(row, F.struct(F.col("text").cast("string"), F.to_json(row)))
+    several = named.join(heads.filter("__simhash_rows > 1"), match).groupBy("__simhash_id", "__simhash_own").agg(least.alias("row")).select("row.*")
+    return alone.unionByName(several).unionByName(marked.filter(F.col("doc_id").isNull()).select(*columns))

@@ -118,3 +118,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(101, 140)) and got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_goes_by_text(spark):
+    a, b = "one text of a good many words that stands here", "another thing altogether with no word in common at all"
+    rows = [(3, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "w"), (None, a, "n"), (7, None, "o"), (8, "", "p")]
+    for order in (rows, rows[::-1]):
+        out = S.keep_one(spark.createDataFrame(order, "doc_id long, text string, fp string").repartition(3)).collect()
+        assert sorted((r.doc_id or 0, r.text or "", r.fp) for r in out) == sorted([(3, a, "x"), (5, b, "w"), (0, a, "n"), (7, "", "o")])
