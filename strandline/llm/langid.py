@@ -17,15 +17,16 @@ from strandline.llm.common import worker_cache
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 UNDETERMINED = "und"
 START = "▁"
-#: Longest piece used, and the length into which longer words are cut before scoring.
-PIECE_CHARS, WORD_CHARS = 8, 32
 #: Labelled documents a language is learned from, at most.
 TRAIN_DOCS = 1500
 EM_ROUNDS = 4
 _FLOOR = 1e-7
 _CACHE_WORDS = 500_000
+#: Characters of the words that are scored together, padding included: bounds memory, changes no result.
+_BATCH_CHARS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_NO_ROWS = np.zeros(0, np.int64)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -39,15 +40,15 @@ def pieces(vocabulary: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    keep = {p for p in found if 0 < len(p) <= PIECE_CHARS and p == p.lower() and all(c.isalpha() or c == START for c in p) and START not in p[1:]}
+    keep = {p for p in found if p and p == p.lower() and all(c.isalpha() or c == START for c in p) and START not in p[1:]}
     return sorted(keep)
 
 
-def _hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """[l]: hash of the l + 1 characters from each place, for every row of a code matrix."""
+def _hashes(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """[l]: hash of the l + 1 characters from each place, for every row of a code matrix, up to most characters."""
     n, m = codes.shape
     out, h = [], np.zeros((n, m), np.uint64)
-    for length in range(1, min(PIECE_CHARS, m) + 1):
+    for length in range(1, min(most, m) + 1):
         h = (h[:, : m - length + 1] + codes[:, length - 1 :].astype(np.uint64) + np.uint64(1)) * _MULT
         h ^= h >> np.uint64(29)
         out.append(h)
@@ -55,87 +56,94 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
 
 
 class UnigramModel:
-    """Piece probabilities of each language. Characters outside the vocabulary have a floor probability."""
+    """Piece probabilities of each language. Characters outside the vocabulary have a floor probability.
 
-    def __init__(self, langs: list[str], keys: np.ndarray, prob: np.ndarray) -> None:
-        self.langs, self.keys, self.prob, self.id = langs, keys, prob, uuid.uuid4().hex
+    All sums over segmentations are of logarithms, so words of any length are scored whole.
+    """
+
+    def __init__(self, langs: list[str], keys: np.ndarray, prob: np.ndarray, longest: int) -> None:
+        self.langs, self.keys, self.prob, self.longest, self.id = langs, keys, prob, longest, uuid.uuid4().hex
 
     @classmethod
     def empty(cls, langs: list[str], vocabulary: str = VOCABULARY) -> UnigramModel:
-        all_keys = []
-        for p in pieces(vocabulary):
-            codes = np.array([[ord(c) for c in p]], np.uint32)
-            all_keys.append(_hashes(codes)[len(p) - 1][0, 0])
+        known = pieces(vocabulary)
+        longest = max(map(len, known), default=1)
+        all_keys = [_hashes(np.array([[ord(c) for c in p]], np.uint32), len(p))[-1][0, 0] for p in known]
         keys = np.unique(np.array(all_keys, np.uint64))
         assert len(keys) == len(all_keys), "two pieces share a hash"
-        # the last two rows: a character outside the vocabulary, and no piece at all
-        prob = np.full((len(keys) + 2, len(langs)), 1.0 / len(keys))
-        prob[-2], prob[-1] = _FLOOR, 0.0
-        return cls(langs, keys, prob)
-
-    def _ids(self, codes: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for length, h in enumerate(_hashes(codes)):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            miss = len(self.keys) + (0 if length == 0 else 1)
-            out.append(np.where(self.keys[at] == h, at, miss))
+        # the last row: a character outside the vocabulary
+        prob = np.full((len(keys) + 1, len(langs)), 1.0 / max(1, len(keys)))
+        prob[-1] = _FLOOR
+        return cls(langs, keys, prob, longest)
+
+    def _places(self, codes: np.ndarray) -> list[list[tuple[np.ndarray | slice, np.ndarray]]]:
+        """[l][i]: (rows, piece ids) of the pieces of l + 1 characters from place i; single characters always count."""
+        out, n = [], len(self.keys)
+        for length, h in enumerate(_hashes(codes, self.longest)):
+            at = np.minimum(np.searchsorted(self.keys, h), n - 1)
+            hit = self.keys[at] == h
+            if length == 0:
+                ids = np.where(hit, at, n)
+                out.append([(slice(None), ids[:, i]) for i in range(h.shape[1])])
+                continue
+            some = hit.any(0)
+            out.append([(r := np.flatnonzero(hit[:, i]), at[r, i]) if some[i] else (_NO_ROWS, _NO_ROWS) for i in range(h.shape[1])])
         return out
 
-    def _forward(self, ids: list[np.ndarray], m: int) -> np.ndarray:
-        """alpha[:, j]: probability of the first j characters, summed over all their segmentations."""
-        alpha = np.zeros((len(ids[0]), m + 1, len(self.langs)))
-        alpha[:, 0] = 1.0
-        for j in range(1, m + 1):
-            for length in range(1, min(len(ids), j) + 1):
-                alpha[:, j] += alpha[:, j - length] * self.prob[ids[length - 1][:, j - length]]
+    def _forward(self, places, n: int, m: int, log_prob: np.ndarray) -> np.ndarray:
+        """alpha[:, j]: log probability of the first j characters, summed over all their segmentations."""
+        alpha = np.full((n, m + 1, log_prob.shape[1]), -np.inf)
+        alpha[:, 0] = 0.0
+        for i in range(m):
+            for length in range(1, min(len(places), m - i) + 1):
+                rows, ids = places[length - 1][i]
+                if len(ids):
+                    alpha[rows, i + length] = np.logaddexp(alpha[rows, i + length], alpha[rows, i] + log_prob[ids])
         return alpha
 
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
-        """(words, languages) natural logs; a long word counts as its cuts."""
-        out = np.zeros((len(words), len(self.langs)))
-        for rows, codes in _by_length(words):
-            alpha = self._forward(self._ids(codes), codes.shape[1])
-            np.add.at(out, rows, np.log(alpha[:, -1] + 1e-300))
+        """(words, languages) natural logs of whole words."""
+        out, log_prob = np.zeros((len(words), len(self.langs))), np.log(self.prob)
+        for at, codes, ends in _by_length(words):
+            alpha = self._forward(self._places(codes), *codes.shape, log_prob)
+            out[at] = alpha[np.arange(len(at)), ends]
         return out
 
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> None:
-        """Expectation-maximisation from counts of (word, language)."""
-        groups = [(counts[rows], codes, self._ids(codes)) for rows, codes in _by_length(words)]
-        for _ in range(rounds):
-            expected = np.zeros_like(self.prob)
-            for own, codes, ids in groups:
-                m = codes.shape[1]
-                alpha = self._forward(ids, m)
-                beta = np.zeros_like(alpha)
-                beta[:, m] = own / (alpha[:, m] + 1e-300)
-                for i in range(m - 1, -1, -1):
-                    for length in range(1, min(len(ids), m - i) + 1):
-                        pid = ids[length - 1][:, i]
-                        use = self.prob[pid] * beta[:, i + length]
-                        beta[:, i] += use
-                        gain = alpha[:, i] * use
-                        for k in range(len(self.langs)):
-                            expected[:, k] += np.bincount(pid, gain[:, k], len(expected))
-            p = expected[:-2] + 0.01
-            self.prob[:-2] = np.maximum(p / p.sum(0), _FLOOR / 10)
-        self.prob[-2], self.prob[-1] = _FLOOR, 0.0
-
-
-def _by_length(words: list[str], most: int = 20_000):
-    """Yield (row numbers, code matrix) of START + word cut to WORD_CHARS, equal lengths together."""
-    groups: dict[int, tuple[list[int], list[str]]] = {}
+        """Expectation-maximisation from counts of (word, language), a language at a time over its own words."""
+        for k in range(len(self.langs)):
+            own = np.flatnonzero(counts[:, k] > 0)
+            groups = [(counts[own[at], k : k + 1], codes.shape, ends, self._places(codes)) for at, codes, ends in _by_length([words[i] for i in own.tolist()])]
+            for _ in range(rounds):
+                expected, log_prob = np.zeros(len(self.prob)), np.log(self.prob[:, k : k + 1])
+                for times, (n, m), ends, places in groups:
+                    alpha, every = self._forward(places, n, m, log_prob), np.arange(n)
+                    beta = np.full_like(alpha, -np.inf)
+                    beta[every, ends] = 0.0
+                    share = np.log(times) - alpha[every, ends]
+                    for i in range(m - 1, -1, -1):
+                        for length in range(1, min(len(places), m - i) + 1):
+                            rows, ids = places[length - 1][i]
+                            if len(ids):
+                                use = log_prob[ids] + beta[rows, i + length]
+                                beta[rows, i] = np.logaddexp(beta[rows, i], use)
+                                expected += np.bincount(ids, np.exp(alpha[rows, i] + use + share[rows])[:, 0], len(expected))
+                p = expected[:-1] + 0.01
+                self.prob[:-1, k] = np.maximum(p / p.sum(), _FLOOR / 10)
+
+
+def _by_length(words: list[str]):
+    """Yield (row numbers, code matrix, lengths) of START + word, words of like lengths together, padded with zeros."""
+    groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        for at in range(0, len(w), WORD_CHARS):
-            cut = w[at : at + WORD_CHARS]
-            cut = START + cut if at == 0 else cut
-            rows, cuts = groups.setdefault(len(cut), ([], []))
-            rows.append(i)
-            cuts.append(cut)
-    for length, (rows, cuts) in sorted(groups.items()):
-        for at in range(0, len(cuts), most):
-            part = cuts[at : at + most]
-            raw = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4")
-            yield np.array(rows[at : at + most]), raw.reshape(len(part), length)
+        n = len(w) + 1
+        groups.setdefault(n if n <= 24 else 1 << (n - 1).bit_length(), []).append(i)
+    for width, rows in sorted(groups.items()):
+        most = max(1, _BATCH_CHARS // width)
+        for at in range(0, len(rows), most):
+            own = rows[at : at + most]
+            raw = np.frombuffer("".join((START + words[i]).ljust(width, "\0") for i in own).encode("utf-32-le", "surrogatepass"), "<u4")
+            yield np.array(own), raw.reshape(len(own), width), np.array([len(words[i]) + 1 for i in own])
 
 
 def held_out():
@@ -209,16 +217,15 @@ def score_texts(texts: list[str | None], model: UnigramModel) -> tuple[list[str]
     return langs, scores
 
 
-def tag(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def tag(docs: DataFrame, model: UnigramModel | None) -> DataFrame:
     """docs with held_out, lang_pred and score added (columns of those names are replaced).
 
     Predictions use the whole text alone. Null text, or text without a letter, is
-    `und` with score 0, and so is every text when nothing can be learned. Ties go
-    to the first language by name. Rows with a null doc_id are predicted but never
-    learned from; repeated rows come out as often as they went in; an empty table
-    gives an empty result.
+    `und` with score 0, and so is every text without a model. Ties go to the first
+    language by name. Rows with a null doc_id are predicted but never learned from;
+    repeated rows come out as often as they went in; an empty table gives an empty
+    result.
     """
-    model = train(docs, vocabulary, train_docs)
     rows = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out())
     at = rows.columns.index("text")
 
@@ -239,4 +246,4 @@ def tag(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_D
 def identify(docs: DataFrame, vocabulary: str = VOCABULARY, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs(doc_id, text, lang, ...); see tag()."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return tag(narrow, vocabulary, train_docs).select("doc_id", "held_out", "lang_pred", "score")
+    return tag(narrow, train(narrow, vocabulary, train_docs)).select("doc_id", "held_out", "lang_pred", "score")
