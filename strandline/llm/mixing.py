@@ -58,24 +58,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """docs' rows repeated by a hash-seeded Poisson count, in a global random order.
 
     Adds rate, n_copies, copy (from 0) and mix_key, the hash by which rows are
-    range-partitioned and sorted. A row's count depends on the seed and doc_id
+    range-partitioned and sorted; columns of docs with one of these four names
+    are replaced, all others stay. A row's count depends on the seed and doc_id
     alone, so reruns and lost tasks repeat it. Counts of zero leave a row out:
     that is the method's sampling. Rows with a null doc_id share one hash;
     repeated rows repeat together. An empty table gives an empty result.
     """
-    columns = [c for c in docs.columns if c not in ("rate", "steps", "n_copies", "copy", "mix_key", "_u", "_n", "_src", "_parts")]
-    rates = materialize(source_rates(docs, weights, temperature), "mix-rates").select(F.col("source").alias("_src"), "rate", F.col("parts").alias("_parts"), "steps")
+    columns = [f"`{c}`" for c in docs.columns if c.lower() not in ("rate", "n_copies", "copy", "mix_key")]
+    rates = materialize(source_rates(docs, weights, temperature), "mix-rates").select(
+        F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"), F.col("parts").alias("__mix_parts"), F.col("steps").alias("__mix_steps")
+    )
     own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    below = lambda u: F.size(F.filter("steps", lambda c: u >= c))
-    more = F.aggregate(F.sequence(F.lit(2), F.col("_parts")), F.lit(0), lambda n, i: n + below(uniform(F.lit(seed), own_id, i)))
-    count = below(F.col("_u")) + F.when(F.col("_parts") > 1, more).otherwise(0)
+    below = lambda u: F.size(F.filter("__mix_steps", lambda c: u >= c))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("__mix_parts")), F.lit(0), lambda n, i: n + below(uniform(F.lit(seed), own_id, i)))
+    count = below(F.col("__mix_u")) + F.when(F.col("__mix_parts") > 1, more).otherwise(0)
     counted = (
-        docs.select(*columns).withColumn("_u", uniform(F.lit(seed), own_id))
-        .join(rates, F.col("source").eqNullSafe(F.col("_src")))
+        docs.select(*columns).withColumn("__mix_u", uniform(F.lit(seed), own_id))
+        .join(rates, F.col("source").eqNullSafe(F.col("__mix_source")))
         .withColumn("n_copies", count)
         .filter("n_copies > 0")
     )
-    copies = counted.select(*columns, "rate", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
+    copies = counted.select(*columns, F.col("__mix_rate").alias("rate"), "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy"))
     keyed = copies.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     return keyed.orderBy("mix_key", "doc_id", "copy")
 
@@ -83,12 +86,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 ORACLE = f"""
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, pow(CAST(n AS DOUBLE), {TEMPERATURE}) AS w FROM sizes),
-r AS (SELECT source, n, least({MAX_RATE}, w / (SELECT sum(w) FROM w) * (SELECT sum(n) FROM w) / n) AS rate FROM w),
-k AS (SELECT source, rate, i, exp(-rate + CASE WHEN i = 0 THEN 0 ELSE i * ln(rate) END - lgamma(i + 1)) AS p FROM r, range(0, 65) t(i)),
-c AS (SELECT source, rate, i, sum(p) OVER (PARTITION BY source ORDER BY i) AS upto FROM k),
-u AS (SELECT *, CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
-m AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, c.rate, sum(CASE WHEN u.u >= c.upto THEN 1 ELSE 0 END) AS n_copies
-      FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(n_copies AS INTEGER) AS n_copies, CAST(j AS INTEGER) AS copy
-FROM m, range(0, 65) t(j) WHERE j < n_copies
+r AS (SELECT source, n, w / (SELECT sum(w) FROM w) * (SELECT sum(n) FROM w) / n AS rate FROM w),
+q AS (SELECT *, greatest(1, CAST(ceil(rate / {MAX_RATE}) AS INTEGER)) AS parts FROM r),
+k AS (SELECT source, i, exp(-rate / parts + CASE WHEN i = 0 THEN 0 ELSE i * ln(rate / parts) END - lgamma(i + 1)) AS p FROM q, range(0, 65) t(i)),
+s AS (SELECT source, list(upto ORDER BY i) AS steps FROM (SELECT source, i, sum(p) OVER (PARTITION BY source ORDER BY i) AS upto FROM k) GROUP BY source),
+e AS (SELECT q.source, q.rate, q.parts, s.steps FROM q JOIN s ON q.source IS NOT DISTINCT FROM s.source),
+u AS (SELECT d.*, e.rate, e.steps, unnest(range(1, e.parts + 1)) AS part FROM documents d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+h AS (SELECT *, CAST('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN part = 1 THEN '' ELSE '|' || part END), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM u),
+m AS (SELECT doc_id, text, lang, source, n_chars, rate, sum(len(list_filter(steps, lambda c: h.u >= c))) AS n_copies FROM h GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, CAST(n_copies AS INTEGER) AS n_copies, CAST(unnest(range(0, CAST(n_copies AS BIGINT))) AS INTEGER) AS copy FROM m
 """
