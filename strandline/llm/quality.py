@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import worker_cache
+from strandline.llm.common import materialize, worker_cache
 
 #: Documents that the scorer is fitted on, at most, chosen by a hash of doc_id.
 TRAIN_DOCS = 6000
@@ -23,7 +23,12 @@ FUNCTION_WORDS = frozenset(
     "the of and to in a is that it was for on are with as be this have from or by not an at which but "
     "der die das und ist in den von zu mit sich auf für im dem nicht ein eine als auch des "
     "de la el en y a los se del las un por con no una su para es al lo como que "
-    "le les et des est une du que dans qui par pour pas sur au avec il ce on".split()
+    "le les et des est une du que dans qui par pour pas sur au avec il ce on "
+    "di che il per è della sono con gli alla nel anche come più "
+    "o os da em um uma não com dos na mais ao pelo "
+    "van een het niet zijn voor aan met ook er "
+    "och att det som på av för inte med til af ikke har "
+    "i w na z się nie do jest że jak".split()
 )
 _RUNS = re.compile(r"(.)\1+")
 LABELLERS = ("symbols", "decorated", "bare_signs", "capitals", "exclaiming", "repeated_lines", "repeated_words", "stutter", "repeated_sentences", "function_words", "word_length")
@@ -33,11 +38,15 @@ GOOD, BAD, NONE = 1, 0, -1
 
 def votes(text: str | None) -> list[int]:
     """GOOD, BAD or NONE from each labeller, over the whole text."""
-    text = text or ""
-    words = text.split()
+    return _votes(text or "", (text or "").split())
+
+
+def _votes(text: str, words: list[str]) -> list[int]:
     n = len(words)
     if not n:
         return [NONE] * len(LABELLERS)
+    # labellers of words know scripts that part words by spaces and, for function words, Latin ones
+    latin = text.isascii() or len(text.encode("ascii", "ignore")) > 0.7 * len(text)
     chars = sum(map(len, words))
     symbols = sum(map(text.count, SIGNS)) / chars
     decorated = sum(w[-1] in SIGNS or w[0] in SIGNS for w in words) / n
@@ -62,8 +71,8 @@ def votes(text: str | None) -> list[int]:
         NONE if n < 60 else BAD if distinct < 0.2 else GOOD if distinct > 0.35 else NONE,
         NONE if n < 10 else BAD if stutter > 0.1 else GOOD if stutter < 0.03 else NONE,
         NONE if len(sentences) < 5 else BAD if again > 0.4 else GOOD if again < 0.1 else NONE,
-        NONE if n < 20 else BAD if stop < 0.03 else GOOD if stop > 0.1 else NONE,
-        BAD if mean < 2.5 or mean > 14 else GOOD if 3.5 <= mean <= 9 else NONE,
+        NONE if n < 20 or not latin else BAD if stop < 0.03 else GOOD if stop > 0.1 else NONE,
+        NONE if not latin else BAD if mean < 2.5 or mean > 14 else GOOD if 3.5 <= mean <= 9 else NONE,
     ]
 
 
@@ -121,102 +130,108 @@ class _Buckets(dict):
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) of a whole text: square roots of counts, scaled to length one.
+    """(buckets, counts) of a whole text, nothing for a blank one.
 
     Features are words, word shapes, and bands of length, of the share of
-    distinct words and of words equal to their predecessor; a band weighs as
+    distinct words and of words equal to their predecessor; a band counts as
     much as a quarter of the words.
     """
-    words = (text or "").split()
+    return _features((text or "").split())
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n, cache = len(words), worker_cache("quality", _Buckets)
     stats = (b"distinct:%d" % (10 * len(set(words)) // n), b"stutter:%d" % (10 * sum(map(str.__eq__, words, words[1:])) // n), b"length:%d" % n.bit_length())
     both = np.fromiter(map(cache.__getitem__, words), np.int64, n)
     pairs = np.concatenate([both & ((1 << BITS) - 1), both >> BITS])
     whole = np.array([crc32(x) & ((1 << BITS) - 1) for x in stats], np.int64)
-    bucket, count = np.unique(np.concatenate([pairs, np.repeat(whole, max(1, n // 4))]), return_counts=True)
-    weight = np.sqrt(count)
-    return bucket, weight / np.sqrt((weight * weight).sum())
+    return np.unique(np.concatenate([pairs, np.repeat(whole, max(1, n // 4))]), return_counts=True)
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 80) -> np.ndarray:
+def _weights(counts: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Square roots of counts, each row scaled to length one; its squares are the counts."""
+    return np.sqrt(counts / np.maximum(1, np.bincount(row, counts, rows))[row])
+
+
+def fit_scorer(bucket: np.ndarray, counts: np.ndarray, row: np.ndarray, target: np.ndarray, rounds: int = 80) -> np.ndarray:
     """Logistic weights (the last is the bias) by Adagrad on soft targets, full batches, fixed order."""
-    bucket = np.concatenate([b for b, _ in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
+    rows, value = len(target), _weights(counts, row, len(target))
     w, g2 = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-8)
     for _ in range(rounds):
-        z = np.bincount(row, value * w[bucket], len(rows)) + w[-1]
-        err = (1 / (1 + np.exp(-z)) - target) / max(1, len(rows))
+        z = np.bincount(row, value * w[bucket], rows) + w[-1]
+        err = (1 / (1 + np.exp(-z)) - target) / max(1, rows)
         grad = np.append(np.bincount(bucket, value * err[row], 1 << BITS), err.sum()) + 1e-7 * w
         g2 += grad * grad
         w -= 0.3 * grad / np.sqrt(g2)
     return w
 
 
-def score_text(text: str | None, w: np.ndarray) -> float:
-    bucket, value = features(text)
-    return float(1 / (1 + np.exp(-np.clip((value * w[bucket]).sum() + w[-1], -50, 50))))
+def score_rows(bucket: np.ndarray, counts: np.ndarray, row: np.ndarray, rows: int, w: np.ndarray) -> np.ndarray:
+    """Scores of rows whose features stand one after another; a row without features scores 0."""
+    z = np.bincount(row, _weights(counts, row, rows) * w[bucket], rows) + w[-1]
+    return np.where(np.bincount(row, minlength=rows) > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
+
+
+def _ragged(bucket: pa.ListArray, counts: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, counts, row) of two list columns."""
+    size = np.diff(bucket.offsets.to_numpy())
+    return bucket.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64), np.repeat(np.arange(len(size)), size)
+
+
+#: Code of a text without a word, which is no vote pattern.
+BLANK = -1
 
 
 def quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.5) -> DataFrame:
     """(doc_id, votes array<int>, weak_posterior, score, kept) for each row of docs(doc_id, text, ...).
 
-    Labellers vote on every whole text; their accuracies come from the vote
-    patterns of all documents. The scorer learns the patterns' posteriors on a
+    One pass over the texts gives votes and features, which are written out; all
+    the rest reads those. Labellers' accuracies come from the vote patterns of
+    all documents with a word. The scorer learns the patterns' posteriors on a
     bounded sample and scores every text; kept is score >= threshold. No labelled
-    data take part. Null and blank texts get the bias alone. A null doc_id never
-    trains. Repeated rows come out as often as they went in; extra columns are
-    ignored; an empty table gives an empty result.
+    data take part. Null and blank texts are rejected: posterior and score 0, no
+    vote, not kept. A null doc_id never trains. Repeated rows come out as often
+    as they went in; extra columns are ignored; an empty table gives an empty
+    result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def count(batches):
-        total: dict[int, int] = {}
+    def read(batches):
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                code = pattern_code(votes(t))
-                total[code] = total.get(code, 0) + 1
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
-
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = [part.column(0).to_pylist(), [], [], []]
+                for t in part.column(1).to_pylist():
+                    words = (t or "").split()
+                    b, n = _features(words)
+                    for col, x in zip(out[1:], (pattern_code(_votes(t, words)) if words else BLANK, b.astype(np.int32), n.astype(np.int32))):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "code", "b", "n"])
+
+    seen = materialize(rows.mapInArrow(read, "doc_id long, code long, b array<int>, n array<int>"), "quality-features")
     # at most 3 ** len(LABELLERS) rows, in practice a few hundred
-    counts = dict(map(tuple, rows.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect()))
+    counts = dict(map(tuple, seen.filter(F.col("code") != BLANK).groupBy("code").count().collect()))
     _, _, posterior = fit_labellers(counts) if counts else (0.5, None, {})
-    total = sum(counts.values())
-    share = min(1.0, train_docs / max(1, total))
-    chosen = rows.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000))
-
-    def sample(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b, v = features(t)
-                for col, x in zip(out, (doc, pattern_code(votes(t)), b.astype(np.int32), v.astype(np.float32))):
-                    col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "code", "b", "v"])
-
+    share = min(1.0, train_docs / max(1, sum(counts.values())))
+    chosen = seen.filter((F.col("code") != BLANK) & F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000))
+    got = chosen.toArrow().sort_by([("doc_id", "ascending"), ("code", "ascending")]).combine_chunks()
     w = np.zeros((1 << BITS) + 1)
-    if counts:
-        got = chosen.mapInArrow(sample, "doc_id long, code long, b array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending"), ("code", "ascending")])
-        target = np.array([posterior[c] for c in got["code"].to_pylist()])
-        if len(target):
-            w = fit_scorer([(np.array(b, np.int64), np.array(v, float)) for b, v in zip(got["b"].to_pylist(), got["v"].to_pylist())], target)
-
+    if got.num_rows:
+        w = fit_scorer(*_ragged(*(got[c].chunk(0) for c in ("b", "n"))), np.array([posterior[c] for c in got["code"].to_pylist()]))
     weights = docs.sparkSession.sparkContext.broadcast(w)  # 2 MB whatever the input
+    known = {BLANK: ([NONE] * len(LABELLERS), 0.0)} | {c: (pattern_votes(c), p) for c, p in posterior.items()}
 
     def score(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                v = [votes(t) for t in texts]
-                s = np.array([score_text(t, weights.value) for t in texts])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(v, pa.list_(pa.int32())), pa.array([posterior[pattern_code(x)] for x in v], pa.float64()), pa.array(s, pa.float64()), pa.array(s >= threshold)],
-                    ["doc_id", "votes", "weak_posterior", "score", "kept"],
-                )
-
-    return rows.mapInArrow(score, "doc_id long, votes array<int>, weak_posterior double, score double, kept boolean")
+            s = score_rows(*_ragged(batch.column(2), batch.column(3)), batch.num_rows, weights.value)
+            codes = [known[c] for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([v for v, _ in codes], pa.list_(pa.int32())), pa.array([p for _, p in codes], pa.float64()), pa.array(s, pa.float64()),
+                 pa.array((s >= threshold) & (batch.column(1).to_numpy() != BLANK))],
+                ["doc_id", "votes", "weak_posterior", "score", "kept"],
+            )
+
+    return seen.mapInArrow(score, "doc_id long, votes array<int>, weak_posterior double, score double, kept boolean")
