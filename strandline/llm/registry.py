@@ -43,8 +43,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents with pseudonyms; counts by kind as sorted JSON."""
-    done = pii.pseudonyms(_table(spark, sf_dir, "documents"))
+    """Whole documents with pseudonyms under the session's key; counts by kind as sorted JSON."""
+    done = pii.pseudonyms(_table(spark, sf_dir, "documents"), pii.session_key(spark))
     return done.withColumn("pii_counts", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("pii_counts")))))
 
 
