@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +13,38 @@ from strandline.llm.common import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this posterior no language is credible.
 LEAST_SCORE = 0.5
+_log = logging.getLogger(__name__)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a credible language, which replaces the given one; the rest go.
 
-    Predicting beside the row, not joining back by doc_id, keeps repeated rows as they are.
+    Predicting beside the row, not joining back by doc_id, keeps repeated rows as they
+    are. Where no document tells a language, nothing can be learned or rejected on
+    that ground: documents with a letter stay as they are, and a warning says so.
     """
-    found = langid.tag(docs.select(*COLUMNS))
+    own = docs.select(*COLUMNS)
+    model = langid.train(own)
+    if model is None:
+        _log.warning("no document has a language: none is rejected for its language")
+        return own.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.tag(own, model)
     kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: that of the smallest doc_id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become format-preserving pseudonyms; n_chars follows the text."""
-    return pii.pseudonyms(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Personal data become format-preserving pseudonyms; n_chars follows the text.
+
+    The key is the session's: set spark.strandline.pii.secret to link values across
+    runs. Unset, a random key that no code holds lasts as long as the session.
+    """
+    return pii.pseudonyms(docs.select(*COLUMNS), pii.session_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
