@@ -2,44 +2,72 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a temporary one in local mode only, as in tests: on a cluster
+    a machine's own folder would scatter tables over executors' disks.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", path)
+        _hadoop(spark, path)[0].deleteOnExit(_hadoop(spark, path)[1])
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder. The JVM drops it when it ends, whether or not the session was stopped first."""
     path = f"{scratch_dir(spark)}/strandline/{label}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
+    filesystem, where = _hadoop(spark, path)
+    filesystem.deleteOnExit(where)
+    _made.append(path)
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system; after the session's end it stays."""
+    filesystem, where = _hadoop(spark, path)
+    filesystem.delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[set[str]]:
+    """Drop at its end what was written within it, but for the paths that the body adds to the set it is given."""
+    kept: set[str] = set()
+    start = len(_made)
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session is gone at exit
-        return
+        yield kept
+    finally:
+        for path in _made[start:]:
+            if path not in kept:
+                drop_path(spark, path)
+        _made[start:] = [p for p in _made[start:] if p in kept]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Cut lineage: write a table into the shared folder and read it back.
 
     Files on shared storage outlive lost executors, unlike cached blocks.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
