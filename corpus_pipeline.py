@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import langid, mixing, packing, pii, simhash
-from strandline.llm.common import materialize
+from strandline.storage import drop_path, materialize, scratch_path, scratch_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this posterior no language is credible.
@@ -64,7 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's scratch tables, and its input once read, are dropped before the next one starts."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark) as kept:
+            path = scratch_path(spark, f"pipeline-{name}")
+            kept.add(path)
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
