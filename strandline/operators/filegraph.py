@@ -136,7 +136,9 @@ def expand(found: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     """(symbol nodes, edges) of files: anchors as symbols that end before the next, exports, and calls within a file.
 
     A symbol calls another of its file if the other's name, with an opening
-    bracket, stands in its lines.
+    bracket, stands in its lines: bodies are read once for their called names,
+    which meet the file's symbols by equality. Names that are no identifier, few
+    if any, are sought one by one.
     """
     order = Window.partitionBy("path").orderBy("line", "name")
     a = found.select("path", "loc", F.explode("anchors").alias("x")).select("path", "loc", "x.*")
@@ -144,7 +146,11 @@ def expand(found: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     spans = materialize(spans.withColumn("id", file_id(F.lit("sym"), "k")).dropDuplicates(["id"]), "symbols")
     body = spans.join(contents.select("path", "content"), "path").select("path", "id", "name", F.array_join(F.slice(F.split("content", "\n"), F.col("line"), F.greatest(F.lit(1), F.col("end") - F.col("line") + 1)), "\n").alias("body"))
     other = spans.select("path", F.col("id").alias("dst"), F.col("name").alias("callee"))
-    called = body.join(other, "path").filter("id != dst").filter(F.expr(r"regexp(body, concat('(?<![A-Za-z0-9_$])\\Q', callee, '\\E[ \\t]*\\('))"))
+    plain = F.col("callee").rlike(r"^[A-Za-z0-9_$]+$")
+    said = body.select("path", "id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z0-9_$]+)[ \t]*\("), F.lit(1)))).alias("callee"))
+    by_name = said.join(other.filter(plain), ["path", "callee"]).select("id", "dst")
+    odd = body.join(other.filter(~plain), "path").filter(F.expr(r"regexp(body, concat('(?<![A-Za-z0-9_$])\\Q', callee, '\\E[ \\t]*\\('))")).select("id", "dst")
+    called = by_name.unionByName(odd).filter("id != dst")
     owner = found.select("path", file_id(node_type("path"), "path").alias("file"))
     exports = spans.filter("exported").join(owner, "path").select(F.col("file").alias("src"), F.lit("exports").alias("type"), F.col("id").alias("dst"))
     nodes = spans.select("id", F.lit("sym").alias("t"), "k", "line", "end")

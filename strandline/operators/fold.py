@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import issue_numbers
@@ -30,9 +30,10 @@ def folded_nodes(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def merge_anchors(files: DataFrame, folded: DataFrame) -> DataFrame:
     """files with the anchors of unconnected symbols merged in, by line, the first forty.
 
-    files: id, a; folded: file, name, line. A file's definitions bound the list.
+    files: id, a; folded: file, name, line. No more than forty of a file are gathered.
     """
-    extra = folded.groupBy(F.col("file").alias("id")).agg(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "name")).alias("more"))
+    few = folded.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("line", "name"))).filter(F.col("r") <= ANCHOR_CAP)
+    extra = few.groupBy(F.col("file").alias("id")).agg(F.collect_list(F.struct(F.col("line").cast("int").alias("line"), "name")).alias("more"))
     have = F.transform(F.coalesce("a", F.array().cast("array<struct<name:string,line:int>>")), lambda x: F.struct(x["line"].alias("line"), x["name"].alias("name")))
     merged = F.slice(F.array_sort(F.concat(have, F.coalesce("more", F.array().cast("array<struct<line:int,name:string>>")))), 1, ANCHOR_CAP)
     return files.join(extra, "id", "left").withColumn("a", F.transform(merged, lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line")))).drop("more")

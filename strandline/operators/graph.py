@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +67,15 @@ def assign_ids(nodes: DataFrame) -> DataFrame:
     from strandline.functions.text import file_id
 
     keyed = nodes.select("t", "k").distinct().withColumns({"h": hash_prefix(F.concat_ws(":", "t", "k"), 20), "id6": file_id("t", "k")})
-    mates = Window.partitionBy("t", "id6").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list("h").over(mates)  # 24-bit collisions: groups of a few keys
-    sizes = F.sequence(F.lit(6), F.lit(20))
-    free = F.filter(sizes, lambda n: ~F.exists("earlier", lambda e: F.substr(e, F.lit(1), n) == F.substr(F.col("h"), F.lit(1), n)))
-    out = keyed.withColumn("earlier", earlier).withColumn("n", F.coalesce(F.get(free, 0), F.lit(20)))
-    return out.select("t", "k", F.when(F.col("t") == "issue", F.col("id6")).otherwise(F.concat(F.substring("id6", 1, 1), F.substr(F.col("h"), F.lit(1), F.col("n")))).alias("id"))
+    mates = keyed.withColumn("mates", F.count("*").over(Window.partitionBy("t", "id6")))
+    prefix = F.substr(F.col("h"), F.lit(1), F.col("n"))
+    # of keys that share a prefix the first has it: the shortest such length, from the few keys with mates alone
+    tried = mates.filter("mates > 1").withColumn("n", F.explode(F.sequence(F.lit(6), F.lit(20)))).withColumn("prefix", prefix)
+    first = tried.withColumn("r", F.row_number().over(Window.partitionBy("t", "n", "prefix").orderBy("k"))).groupBy("t", "k", "h", "id6").agg(
+        F.coalesce(F.min(F.when(F.col("r") == 1, F.col("n"))), F.lit(20)).alias("n")
+    )
+    out = mates.filter("mates = 1").select("t", "k", "h", "id6", F.lit(6).alias("n")).unionByName(first)
+    return out.select("t", "k", F.when(F.col("t") == "issue", F.col("id6")).otherwise(F.concat(F.substring("id6", 1, 1), prefix)).alias("id"))
 
 
 def worst_state(states: DataFrame, ranks: dict[str, int] = GIT_RANK, key: str = "path") -> DataFrame:
@@ -141,18 +145,28 @@ def prefix_budget(rows: DataFrame, order: list[Column], cost: str, ceiling: floa
 
 
 def greedy_budget(rows: DataFrame, group: str, order: list[str], cost: str, ceiling: int) -> DataFrame:
-    """Ranked rows of each group that still fit when they come up: a row too large is skipped, not the end.
+    """(group, order, cost): ranked rows of each group that still fit when they come up; a row too large is skipped, not the end.
 
-    A fold over each group's sorted array; groups are report sections of bounded length.
+    What fits depends on all that came before, so a group is one sorted stream; it
+    is read batch by batch and only its running sum is held. Rows that can never
+    fit do not move. Null costs never fit.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, cost)))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(f"array<struct<{','.join(f'{c}:{dict(rows.dtypes)[c]}' for c in dict.fromkeys([*order, cost]))}>>").alias("kept"))
+    names = list(dict.fromkeys([group, *order, cost]))
+    narrow = rows.select(*names).filter(F.col(cost) <= ceiling)
 
-    def step(acc, x):
-        total = acc["spent"] + x[cost]
-        return F.when(total <= ceiling, F.struct(total.alias("spent"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    def run(batches):
+        now, spent = object(), 0
+        for batch in batches:
+            keep = []
+            for g, c in zip(batch.column(0).to_pylist(), batch.column(names.index(cost)).to_pylist()):
+                if g != now:
+                    now, spent = g, 0
+                fits = spent + c <= ceiling
+                spent += c if fits else 0
+                keep.append(fits)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return rows.groupBy(group).agg(items.alias("items")).select(group, F.explode(F.aggregate("items", start, step)["kept"]).alias("x")).select(group, "x.*")
+    return narrow.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, narrow.schema)
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -221,6 +235,11 @@ def enrich_next(nodes: DataFrame, deg: DataFrame, k: int = 8) -> DataFrame:
     return todo.join(deg, "id").filter("n_in > 0").orderBy(F.desc("n_in"), "id").limit(k).select("id", "k", "n_in")
 
 
+def top_fan_in(edges: DataFrame, k: int = 8) -> DataFrame:
+    """(id, n_in) of the k nodes that most distinct sources point at, ties by id."""
+    return edges.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n_in")).orderBy(F.desc("n_in"), "id").limit(k)
+
+
 def infer_modules(files: DataFrame, max_depth: int = 64) -> DataFrame:
     """(dir, direct, nested, child_modules) of directories that are modules, decided from the deepest up.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import closing_numbers, issue_numbers, source_key
 from strandline.operators.graph import last_wins
-from strandline.operators.traversal import confidence_rank, impact
+from strandline.operators.traversal import confidence_rank, nearest_sources
+from strandline.schemas import IMPACT_TYPES
 
 
 def latest(ledger: DataFrame, deletes: bool = True) -> DataFrame:
@@ -142,8 +143,16 @@ def check(old_nodes, new_nodes, old_edges, new_edges, old_files, new_files, note
 
 
 def drift_dependents(edges: DataFrame, changed: DataFrame, depth: int = 32) -> DataFrame:
-    """Merged upward impact of a set of changed node ids; the sources walk together."""
-    return merge_dependents(impact(edges, changed.select("id", F.col("id").alias("source")), "up", depth))
+    """(id, hop, confidence): merged upward impact of a set of changed node ids.
+
+    hop counts from the nearest changed node other than the dependent itself, and a
+    dependent is exact if an all-exact path from such a node leads to it. So two
+    nearest sources of each node suffice, over all edges and over exact ones.
+    """
+    own = edges.filter(F.col("type").isin(*IMPACT_TYPES))
+    others = lambda e: nearest_sources(e, changed, depth).filter("source != id").groupBy("id").agg(F.min("hop").alias("hop"))
+    sure = others(own.filter("confidence = 'exact'")).select("id", F.lit(True).alias("sure"))
+    return others(own).join(sure, "id", "left").select("id", "hop", F.when(F.col("sure"), "exact").otherwise("heuristic").alias("confidence"))
 
 
 def issue_frontier(issues: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -32,12 +32,17 @@ def smallest_enclosing(places: DataFrame, spans: DataFrame) -> DataFrame:
 def satisfies(types: DataFrame, ifaces: DataFrame) -> DataFrame:
     """(type, iface) pairs where the type has every method of the interface.
 
-    types: type, method; ifaces: iface, method, both distinct. Shared methods are
-    counted against each interface's need.
+    types: type, method; ifaces: iface, method, both distinct. Each interface asks
+    only the types that have its rarest method; those are then held against all
+    its methods. So a method that every type has makes no pairs.
     """
-    need = ifaces.groupBy("iface").agg(F.count("*").alias("need"))
-    have = types.join(ifaces, "method").groupBy("type", "iface").agg(F.count("*").alias("have"))
-    return have.join(need, "iface").filter("have = need").select("type", "iface")
+    common = types.groupBy("method").agg(F.count("*").alias("bearers"))
+    asked = ifaces.join(common, "method", "left").groupBy("iface").agg(
+        F.count("*").alias("need"), F.min_by("method", F.struct(F.coalesce("bearers", F.lit(0).cast("long")), "method")).alias("method")
+    )
+    maybe = materialize(asked.join(types, "method").select("type", "iface", "need"), "satisfy-candidates")
+    held = maybe.join(ifaces, "iface").join(types, ["type", "method"], "left_semi").groupBy("type", "iface", "need").agg(F.count("*").alias("have"))
+    return held.filter("have = need").select("type", "iface")
 
 
 def first_existing(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

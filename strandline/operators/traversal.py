@@ -20,8 +20,6 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return (down if direction == "down" else up).distinct()
 
 
-#: Seeds times edges up to which a walk runs on the driver: its size is counted first, as for a broadcast.
-LOCAL_WORK = 2_000_000
 #: Hops of a walk that ends by itself, when a level is empty.
 UNTIL_EMPTY = 1 << 30
 
@@ -32,14 +30,12 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str =
     seeds has `id`, and any other columns name independent walks that share the
     joins. Each hop joins the last level alone with the edges, drops what any
     level has, and is written out, so the plan of hop n does not hold hop n - 1.
-    Stops when a level is empty. Walks that are small by count skip the joins.
+    Stops when a level is empty.
     """
     walk = materialize(directed(edges, direction), "walk-edges")
     keys = seeds.columns
     others = [c for c in keys if c != "id"]
     level = materialize(seeds.distinct().withColumn("hop", F.lit(0)), "level")
-    if walk.count() * max(1, level.count()) <= LOCAL_WORK:
-        return _walk_here(walk, level, max_hops)
     seen = level
     for hop in range(1, max_hops + 1):
         step = (
@@ -55,22 +51,25 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str =
     return seen
 
 
-def _walk_here(walk: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """The same levels by a walk over the counted, small tables."""
-    at = seeds.columns.index("id")
-    onward: dict = {}
-    for r in walk.collect():
-        onward.setdefault(r["src"], []).append(r["dst"])
-    rows = [tuple(r) for r in seeds.collect()]
-    level, seen = [r[:-1] for r in rows], {r[:-1] for r in rows}
+def nearest_sources(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str = "up", keep: int = 2) -> DataFrame:
+    """(source, id, hop): the nearest sources of each node, at most `keep` of them, ties to the smaller source.
+
+    seeds: id, its own source at hop 0. A source among a node's nearest is among its
+    predecessor's, so levels need no more than that: rows never exceed keep times the
+    nodes, however many seeds there are.
+    """
+    walk = materialize(directed(edges, direction), "walk-edges")
+    level = materialize(seeds.select("id").distinct().select(F.col("id").alias("source"), "id", F.lit(0).alias("hop")), "level")
+    seen = level
     for hop in range(1, max_hops + 1):
-        step = {(*r[:at], d, *r[at + 1 :]) for r in level for d in onward.get(r[at], ())} - seen
-        if not step:
+        step = level.join(walk, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id")).distinct().join(seen.select("source", "id"), ["source", "id"], "left_anti")
+        held = seen.groupBy("id").agg(F.count("*").alias("held"))
+        ranked = step.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("source"))).filter(F.col("r") <= keep)
+        level = materialize(ranked.join(held, "id", "left").filter(F.col("r") + F.coalesce("held", F.lit(0)) <= keep).select("source", "id", F.lit(hop).alias("hop")), "level")
+        if level.isEmpty():
             break
-        seen |= step
-        level = list(step)
-        rows += [(*r, hop) for r in level]
-    return walk.sparkSession.createDataFrame(rows, seeds.schema)
+        seen = seen.unionByName(level)
+    return seen
 
 
 def flow_edges(edges: DataFrame) -> DataFrame:
@@ -181,34 +180,22 @@ def longest_up_path(edges: DataFrame, target, entries: DataFrame, max_nodes: int
     kind = edges.schema["src"].dataType
     up = materialize(edges.select("src", "dst").filter("src != dst").distinct(), "chain-edges")
     tops = materialize(entries.select("id").distinct(), "chain-entries")
-    onward: dict = {}
-    if up.count() <= LOCAL_WORK:
-        into: dict = {}
-        for r in up.collect():
-            into.setdefault(r["dst"], set()).add(r["src"])
-            onward.setdefault(r["src"], []).append(r["dst"])
-        levels = [{target}]
-        for _ in range(max_nodes - 1):
-            levels.append({s for d in levels[-1] for s in into.get(d, ())} - {target})
-        top = {r["id"] for r in tops.collect()}
-        starts = lambda left, rooted: iter(sorted(levels[left] & top if rooted else levels[left]))
-        steps = lambda x, left: sorted(d for d in onward.get(x, ()) if d in levels[left - 1])
-    else:
-        levels = [spark.range(1).select(F.lit(target).cast(kind).alias("id"))]
-        for _ in range(max_nodes - 1):
-            last = levels[-1].select(F.col("id").alias("dst"))
-            levels.append(materialize(up.join(last, "dst", "left_semi").filter(F.col("src") != F.lit(target)).select(F.col("src").alias("id")).distinct(), "chain-level"))
-
-        def starts(left, rooted):
-            own, last = levels[left].join(tops, "id", "left_semi") if rooted else levels[left], None
-            while (last := (own if last is None else own.filter(F.col("id") > F.lit(last))).agg(F.min("id")).first()[0]) is not None:
-                yield last
-
-        def steps(x, left):
-            if (x, left) not in onward:
-                ahead = levels[left - 1].select(F.col("id").alias("dst"))
-                onward[x, left] = sorted(r["dst"] for r in up.filter(F.col("src") == F.lit(x)).join(ahead, "dst", "left_semi").collect())
-            return onward[x, left]
+    levels = [materialize(spark.range(1).select(F.lit(target).cast(kind).alias("id")), "chain-level")]
+    for _ in range(max_nodes - 1):
+        last = levels[-1].select(F.col("id").alias("dst"))
+        levels.append(materialize(up.join(last, "dst", "left_semi").filter(F.col("src") != F.lit(target)).select(F.col("src").alias("id")).distinct(), "chain-level"))
+
+    def ascending(ids):
+        """Ids in order, fetched one at a time: no list of a node's neighbours is collected."""
+        last = None
+        while (last := (ids if last is None else ids.filter(F.col("id") > F.lit(last))).agg(F.min("id")).first()[0]) is not None:
+            yield last
+
+    def starts(left, rooted):
+        return ascending(levels[left].join(tops, "id", "left_semi") if rooted else levels[left])
+
+    def steps(x, left):
+        return ascending(up.filter(F.col("src") == F.lit(x)).select(F.col("dst").alias("id")).join(levels[left - 1], "id", "left_semi"))
 
     def grow(path, left):
         if left == 0:
@@ -282,12 +269,10 @@ def mutual_reach_layers(edges: DataFrame, nodes: DataFrame, rounds: int | None =
     """(id, layer): longest-path layers; nodes left on or behind cycles share the last layer.
 
     Layer by layer, nodes whose predecessors all have a layer are placed (Kahn's order),
-    until none is free; rounds ends that sooner. Few edges by count are walked on the driver.
+    until none is free; rounds ends that sooner. The number of joins is that of layers.
     """
     left = materialize(nodes.select("id").distinct(), "layer-nodes")
     own = materialize(edges.filter("src != dst").select("src", "dst").distinct(), "layer-edges")
-    if own.count() + left.count() <= LOCAL_WORK:
-        return _layers_here(own, left, rounds)
     out, layer = None, 0
     while rounds is None or layer < rounds:
         held = own.select(F.col("dst").alias("id")).distinct()
@@ -302,30 +287,6 @@ def mutual_reach_layers(edges: DataFrame, nodes: DataFrame, rounds: int | None =
     return rest if out is None else out.unionByName(rest)
 
 
-def _layers_here(own: DataFrame, nodes: DataFrame, rounds: int | None) -> DataFrame:
-    """The same layers by a walk over the counted, small tables."""
-    onward: dict = {}
-    held: dict = {}
-    for r in own.collect():
-        onward.setdefault(r["src"], []).append(r["dst"])
-        held[r["dst"]] = held.get(r["dst"], 0) + 1
-    left = {r["id"] for r in nodes.collect()}
-    rows, layer = [], 0
-    free = [x for x in left if not held.get(x)]
-    while free and (rounds is None or layer < rounds):
-        rows += [(x, layer) for x in free]
-        left.difference_update(free)
-        ready = []
-        for x in free:
-            for d in onward.get(x, ()):
-                held[d] -= 1
-                if not held[d] and d in left:
-                    ready.append(d)
-        free, layer = ready, layer + 1
-    rows += [(x, layer) for x in left]
-    return nodes.sparkSession.createDataFrame(rows, nodes.withColumn("layer", F.lit(0)).schema)
-
-
 def first_parents(edges: DataFrame) -> DataFrame:
     """(id, parent): the first contains edge of each node, by its place `seq`."""
     own = Window.partitionBy("dst").orderBy("seq", "src")

@@ -20,7 +20,7 @@ def part_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_CHAIN = """
 pc AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a
        JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-       WHERE a.l_partkey % 10 = 0 AND b.l_partkey % 10 = 0 AND a.l_partkey <> b.l_partkey)
+       WHERE a.l_partkey <> b.l_partkey)
 """
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import file_id, hash_prefix, symbol_id, tokens_ceiled, tokens_rounded
-from strandline.operators import graph, traversal
+from strandline.operators import fold, graph, traversal
 from strandline.plans import bindings as b
 from strandline.plans.registry import query
 
@@ -49,7 +49,7 @@ def degree_in_out(spark, sf_dir):
 def top_fanin(spark, sf_dir):
     """The eight most depended-on nodes."""
     e = b.file_edges(spark, sf_dir).filter("type = 'imports'")
-    return e.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n_in")).orderBy(F.desc("n_in"), "id").limit(8)
+    return graph.top_fan_in(e, 8)
 
 
 @query("total_degree", f"WITH {b.FILE_EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM fe WHERE type <> 'part-of' UNION ALL SELECT dst FROM fe WHERE type <> 'part-of') GROUP BY id")
@@ -283,9 +283,17 @@ def prefix_budget_cut(spark, sf_dir):
     return graph.prefix_budget(d, [F.desc("n_chars"), F.col("doc_id")], "n_chars", 100_000, ["lang"]).select("lang", "doc_id", "spent")
 
 
-@query("greedy_skip_budget")
+@query(
+    "greedy_skip_budget",
+    """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+    g(source, r, doc_id, n_chars, spent, kept) AS (
+      SELECT source, r, doc_id, n_chars, CASE WHEN n_chars <= 20000 THEN n_chars ELSE 0 END, n_chars <= 20000 FROM d WHERE r = 1
+      UNION ALL SELECT d.source, d.r, d.doc_id, d.n_chars, CASE WHEN g.spent + d.n_chars <= 20000 THEN g.spent + d.n_chars ELSE g.spent END, g.spent + d.n_chars <= 20000
+        FROM g JOIN d ON d.source = g.source AND d.r = g.r + 1)
+    SELECT source, doc_id, n_chars FROM g WHERE kept""",
+)
 def greedy_skip_budget(spark, sf_dir):
-    """Rows that still fit when they come up; order-dependent, so a brute-force test stands in for SQL."""
+    """Rows that still fit when they come up."""
     d = b.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return graph.greedy_budget(d, "source", ["doc_id"], "n_chars", 20_000)
 
@@ -293,9 +301,9 @@ def greedy_skip_budget(spark, sf_dir):
 @query("anchor_cap", "SELECT l_partkey AS part, l_orderkey AS line FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS r FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)) WHERE r <= 40")
 def anchor_cap(spark, sf_dir):
     """Merged anchors by line, the first forty."""
-    li = b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("line")).distinct()
-    w = Window.partitionBy("part").orderBy("line")
-    return li.withColumn("r", F.row_number().over(w)).filter("r <= 40").drop("r")
+    li = b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file"), F.col("l_orderkey").cast("int").alias("line"), F.lit("x").alias("name")).distinct()
+    files = li.select(F.col("file").alias("id")).distinct().withColumn("a", F.lit(None).cast("array<struct<name:string,line:int>>"))
+    return fold.merge_anchors(files, li).select(F.col("id").alias("part"), F.explode("a").alias("x")).select("part", F.col("x.line").cast("long").alias("line"))
 
 
 @query("next_line_span", "SELECT doc_id, lang, CAST(coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) - 1, 1000000) AS BIGINT) AS end_line FROM documents")
@@ -342,7 +350,7 @@ def dir_file_counts(spark, sf_dir):
     return f.groupBy("dir").agg(F.count_if(F.col("dir") == F.col("own")).alias("direct"), F.count("*").alias("nested"))
 
 
-CUSTOMER_PATHS = "cp AS (SELECT r_name || '/' || n_name || '/' || c_mktsegment || '/c' || c_custkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 = 0)"
+CUSTOMER_PATHS = "cp AS (SELECT r_name || '/' || n_name || '/' || c_mktsegment || '/c' || c_custkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 #: Depth by depth from the deepest, as paths are four parts long.
 MODULES = f"""{CUSTOMER_PATHS}, s AS (SELECT string_split(path, '/') AS s FROM cp),
     d AS (SELECT array_to_string(s[1:i], '/') AS dir, i, count(*) FILTER (i = len(s) - 1) AS direct, count(*) AS nested FROM s, range(1, 4) g(i) GROUP BY ALL),
@@ -355,7 +363,7 @@ MODULES = f"""{CUSTOMER_PATHS}, s AS (SELECT string_split(path, '/') AS s FROM c
 
 
 def _customer_paths(spark, sf_dir):
-    c = b.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
+    c = b.table(spark, sf_dir, "customer")
     nation = b.table(spark, sf_dir, "nation").join(b.table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     return c.join(nation, F.expr("c_nationkey = n_nationkey")).selectExpr("concat(r_name, '/', n_name, '/', c_mktsegment, '/c', c_custkey) path")
 
@@ -390,8 +398,8 @@ def longest_prefix_match(spark, sf_dir):
 
 @query(
     "smallest_enclosing",
-    """WITH d AS (SELECT l_suppkey AS path, l_linenumber * 10 AS sb, l_linenumber * 10 + CAST(l_quantity AS INTEGER) * 3 AS eb, l_orderkey AS key FROM lineitem WHERE l_orderkey % 50 = 0),
-    q AS (SELECT DISTINCT l_suppkey AS path, l_orderkey % 97 AS pos FROM lineitem WHERE l_orderkey % 10 = 0),
+    """WITH d AS (SELECT l_suppkey AS path, l_linenumber * 10 AS sb, l_linenumber * 10 + CAST(l_quantity AS INTEGER) * 3 AS eb, l_orderkey AS key FROM lineitem),
+    q AS (SELECT DISTINCT l_suppkey AS path, l_orderkey % 97 AS pos FROM lineitem),
     j AS (SELECT q.path, q.pos, key, row_number() OVER (PARTITION BY q.path, q.pos ORDER BY eb - sb, sb, key) AS r FROM q JOIN d ON q.path = d.path AND sb <= pos AND pos < eb)
     SELECT path, pos, key FROM j WHERE r = 1""",
 )
@@ -400,25 +408,24 @@ def smallest_enclosing(spark, sf_dir):
     from strandline.operators.resolve import smallest_enclosing as join
 
     li = b.table(spark, sf_dir, "lineitem")
-    spans = li.filter("l_orderkey % 50 = 0").selectExpr("l_suppkey path", "l_linenumber * 10 sb", "l_linenumber * 10 + int(l_quantity) * 3 eb", "l_orderkey key")
-    places = li.filter("l_orderkey % 10 = 0").selectExpr("l_suppkey path", "l_orderkey % 97 pos").distinct()
+    spans = li.selectExpr("l_suppkey path", "l_linenumber * 10 sb", "l_linenumber * 10 + int(l_quantity) * 3 eb", "l_orderkey key")
+    places = li.selectExpr("l_suppkey path", "l_orderkey % 97 pos").distinct()
     return join(places, spans).select("path", "pos", "key")
 
 
 @query(
     "interface_satisfaction",
-    """WITH t AS (SELECT DISTINCT l_suppkey AS type, l_partkey % 50 AS method FROM lineitem), i AS (SELECT DISTINCT o_custkey % 200 AS iface, l_partkey % 50 AS method FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 40 = 0 AND l_linenumber = 1),
+    """WITH t AS (SELECT DISTINCT l_suppkey AS type, l_partkey AS method FROM lineitem), i AS (SELECT DISTINCT l_orderkey AS iface, l_partkey AS method FROM lineitem),
     n AS (SELECT iface, count(*) AS need FROM i GROUP BY iface)
     SELECT t.type, i.iface FROM t JOIN i USING (method) JOIN n USING (iface) GROUP BY t.type, i.iface, need HAVING count(*) = need""",
 )
 def interface_satisfaction(spark, sf_dir):
-    """Relational division; a type that has every method of an interface."""
+    """Relational division; suppliers that supply every part of an order."""
     from strandline.operators.resolve import satisfies
 
     li = b.table(spark, sf_dir, "lineitem")
-    types = li.selectExpr("l_suppkey type", "l_partkey % 50 method").distinct()
-    o = b.table(spark, sf_dir, "orders").filter("o_custkey % 40 = 0").select("o_orderkey", "o_custkey")
-    ifaces = li.filter("l_linenumber = 1").join(o, F.expr("o_orderkey = l_orderkey")).selectExpr("o_custkey % 200 iface", "l_partkey % 50 method").distinct()
+    types = li.selectExpr("l_suppkey type", "l_partkey method").distinct()
+    ifaces = li.selectExpr("l_orderkey iface", "l_partkey method").distinct()
     return satisfies(types, ifaces)
 
 
@@ -437,7 +444,10 @@ def path_join_fold(spark, sf_dir):
     return syms.join(b.file_nodes(spark, sf_dir), F.col("k") == F.col("path")).select("id", "sym")
 
 
-@query("stale_nodes", f"WITH {b.SNAPSHOTS} SELECT o.path || '/' || o.name AS id, CASE WHEN n.sig_hash IS NULL THEN 'dead' WHEN n.sig_hash <> o.sig_hash THEN 'stale' ELSE 'ok' END AS st FROM old_s o LEFT JOIN new_s n USING (path, name)")
+PAIRED = f"{b.SNAPSHOTS}, pr AS (SELECT path, name, max(sig_hash) FILTER (l_linestatus = 'O') AS old_h, max(sig_hash) FILTER (l_linestatus = 'F') AS new_h FROM sn GROUP BY path, name)"
+
+
+@query("stale_nodes", f"WITH {PAIRED} SELECT path || '/' || name AS id, CASE WHEN new_h IS NULL THEN 'dead' WHEN new_h <> old_h THEN 'stale' ELSE 'ok' END AS st FROM pr WHERE old_h IS NOT NULL")
 def stale_nodes(spark, sf_dir):
     """Verify against current hashes."""
     old, new = b.snapshots(spark, sf_dir)
@@ -447,11 +457,10 @@ def stale_nodes(spark, sf_dir):
 
 @query(
     "two_phase_dead",
-    f"""WITH {b.SNAPSHOTS}, o AS (SELECT path || '/' || name AS id, sig_hash AS h, CASE WHEN name LIKE '%3' THEN 'dead' ELSE 'ok' END AS st, CASE WHEN name LIKE '%5' THEN 'agent' ELSE 'scan' END AS author FROM old_s),
-    n AS (SELECT path || '/' || name AS id, sig_hash AS h FROM new_s)
-    SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.h IS NULL THEN 'dead' WHEN o.h IS NULL THEN 'ok' WHEN author = 'agent' AND o.h <> n.h THEN 'stale' ELSE 'ok' END AS st,
-           CASE WHEN n.h IS NULL OR (author = 'agent' AND o.h <> n.h) THEN o.h ELSE n.h END AS h
-    FROM o FULL JOIN n ON o.id = n.id WHERE NOT (n.h IS NULL AND o.st = 'dead')""",
+    f"""WITH {PAIRED}, p AS (SELECT *, name LIKE '%3' AS was_dead, name LIKE '%5' AND old_h <> new_h AS pinned FROM pr)
+    SELECT path || '/' || name AS id, CASE WHEN new_h IS NULL THEN 'dead' WHEN pinned THEN 'stale' ELSE 'ok' END AS st,
+           CASE WHEN new_h IS NULL OR pinned THEN old_h ELSE new_h END AS h
+    FROM p WHERE NOT (new_h IS NULL AND was_dead)""",
 )
 def two_phase_dead(spark, sf_dir):
     """G19, ST2, ST3: vanished nodes die, dead ones that stay away go, agents' changed nodes are stale."""

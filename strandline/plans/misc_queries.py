@@ -124,12 +124,12 @@ def overlay_default(spark, sf_dir):
 
 @query(
     "concept_links",
-    """WITH n AS (SELECT 'p' || p_partkey AS id, 'part' || p_size || '.ts' AS name FROM part WHERE p_partkey <= 60), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(*) = 1)
+    """WITH n AS (SELECT 'p' || p_partkey AS id, 'part' || p_size || '.ts' AS name FROM part), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(*) = 1)
     SELECT DISTINCT 'c' || s_suppkey AS src, 'mentions' AS type, id AS dst FROM supplier JOIN u ON name = 'part' || (s_suppkey % 50) || '.ts'""",
 )
 def concept_links(spark, sf_dir):
     """A file name links only where one node bears it."""
-    nodes = b.table(spark, sf_dir, "part").filter("p_partkey <= 60").selectExpr("concat('p', p_partkey) id", "'file' t", "concat('src/part', p_size, '.ts') k")
+    nodes = b.table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey) id", "'file' t", "concat('src/part', p_size, '.ts') k")
     concepts = b.table(spark, sf_dir, "supplier").selectExpr("concat('c', s_suppkey) id", "concat('see part', s_suppkey % 50, '.ts for more') s")
     return fold.link_concepts(concepts, nodes)
 
@@ -169,17 +169,23 @@ def issue_references(spark, sf_dir):
     return closes.unionByName(both.select("number", F.explode(F.array_except("m", "c")).alias("ref"), F.lit("mentions").alias("kind")))
 
 
-@query("network_refs", "SELECT CAST(page_id AS VARCHAR) AS path FROM pages WHERE regexp_matches(html, '(?i)\\bhttps?://|\\bfetch\\s*\\(|@import\\b|\\bWebSocket\\b') OR regexp_matches(url, 'never')")
+@query(
+    "network_refs",
+    """WITH t AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '<a href="' || url || '">' WHEN 1 THEN 'new WebSocket(u)' WHEN 2 THEN 'fetch (u)' WHEN 3 THEN '<img src="//' || url || '">' WHEN 4 THEN '@importance prefetch(u)' ELSE '' END || html AS content FROM pages)
+    SELECT CAST(page_id AS VARCHAR) AS path FROM t WHERE regexp_matches(content, '(?i)\\bhttps?://|\\bsrc\\s*=\\s*["'']//|\\bfetch\\s*\\(|\\bXMLHttpRequest\\b|\\bWebSocket\\b|\\bEventSource\\b|\\bsendBeacon\\b|@import\\b|\\burl\\(\\s*["'']?//|\\bimportScripts\\b')""",
+)
 def network_refs(spark, sf_dir):
-    """pages whose markup reaches out."""
-    t = b.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    """pages whose markup reaches out, after a line of a kind that follows from the page's number."""
+    made = F.expr("""CASE page_id % 6 WHEN 0 THEN concat('<a href="', url, '">') WHEN 1 THEN 'new WebSocket(u)' WHEN 2 THEN 'fetch (u)'
+        WHEN 3 THEN concat('<img src="//', url, '">') WHEN 4 THEN '@importance prefetch(u)' ELSE '' END""")
+    t = b.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.concat(made, F.col("html")).alias("content"))
     return view.network_refs(t).select("path").distinct()
 
 
-@query("edge_note_status", "SELECT user_id AS note, CASE WHEN bool_or(event_type = 'error') THEN 'ambiguous' WHEN bool_or(event_type = 'purchase') THEN 'orphan' WHEN bool_or(event_type = 'click') THEN 'rebind' ELSE 'bound' END AS status FROM events WHERE event_id % 50 = 0 GROUP BY user_id")
+@query("edge_note_status", "SELECT user_id AS note, CASE WHEN bool_or(event_type = 'error') THEN 'ambiguous' WHEN bool_or(event_type = 'purchase') THEN 'orphan' WHEN bool_or(event_type = 'click') THEN 'rebind' ELSE 'bound' END AS status FROM events GROUP BY user_id")
 def edge_note_status(spark, sf_dir):
     """An edge note is as sound as its worse end."""
-    e = b.table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+    e = b.table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "ambiguous").when(F.col("event_type") == "purchase", "orphan").when(F.col("event_type") == "click", "rebind").otherwise("bound")
     ends = e.select(F.col("user_id").alias("note"), status.alias("status"))
     return notes.rebind_edges(ends.select("note").distinct(), ends)

@@ -122,7 +122,7 @@ def bm25_locate(spark, sf_dir):
 def field_lengths(spark, sf_dir):
     """A24."""
     p = b.table(spark, sf_dir, "part").selectExpr("p_partkey id", "p_name name", "p_type sig", "p_brand summary")
-    return search.bm25_index(p)[2].select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+    return search.bm25_index(p)[1].select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 LINES = "list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '[ \\t\\r\\f]+$', ''))"

@@ -77,34 +77,44 @@ def test_walks_over_the_whole_chain(spark):
     assert ran(spark, "impact_up_tests", "path") == [(t,) for t in sorted(tests)]
 
 
-@pytest.mark.parametrize("local", [0, traversal.LOCAL_WORK])
-def test_layers_have_no_last_round(spark, monkeypatch, local):
-    monkeypatch.setattr(traversal, "LOCAL_WORK", local)
-    n = 45 if local else 4
+def test_layers_have_no_last_round(spark):
+    n = 6
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-1, -2), (-2, -1), (-2, -3)], "src long, dst long")
     ids = spark.createDataFrame([(i,) for i in range(-3, n + 1)], "id long")
     got = {r["id"]: r["layer"] for r in traversal.mutual_reach_layers(e, ids).collect()}
     assert got == {i: max(i, 0) if i >= 0 else n + 1 for i in range(-3, n + 1)}
 
 
-def test_layers_of_the_whole_chain(spark):
-    forward = sorted(p for p in pairs() if p[0] < p[1])
-    layer = defaultdict(int)
-    for a, b in forward:  # by ascending source, so a's layer is final
-        layer[b] = max(layer[b], layer[a] + 1)
-    assert ran(spark, "topo_layers", "id", "layer") == sorted((x, layer[x]) for x in {x for p in forward for x in p})
+def test_dependents_of_all_changed_nodes(spark):
+    """Two nearest sources against a walk from every source."""
+    import random
 
+    from strandline.operators import notes
 
-@pytest.mark.parametrize("local", [0, traversal.LOCAL_WORK])
-def test_best_chain_over_dense_and_thin_graphs(spark, monkeypatch, local):
-    monkeypatch.setattr(traversal, "LOCAL_WORK", local)
+    rng = random.Random(5)
+    e = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+    e = {(a, b, rng.choice(("exact", "heuristic"))) for a, b in e if a != b}
+    for changed in ([3], [1, 2, 5, 9, 14], list(range(30))):
+        want = {}
+        for s in changed:
+            every, sure = bfs({(b, a) for a, b, _ in e}, [s]), bfs({(b, a) for a, b, c in e if c == "exact"}, [s])
+            for x, hop in every.items():
+                if x != s:
+                    was = want.get(x, (99, "heuristic"))
+                    want[x] = (min(hop, was[0]), "exact" if x in sure or was[1] == "exact" else "heuristic")
+        frame = spark.createDataFrame([(a, b, "call", c) for a, b, c in sorted(e)], "src long, dst long, type string, confidence string")
+        got = notes.drift_dependents(frame, spark.createDataFrame([(x,) for x in changed], "id long")).collect()
+        assert {r["id"]: (r["hop"], r["confidence"]) for r in got} == want
+
+
+def test_best_chain_over_dense_and_thin_graphs(spark):
     e = {(3, 9), (9, 3), (2, 3), (7, 2), (4, 2), (2, 4), (9, 4), (1, 4), (5, 1)}
     chains, every = [(3,)], []
     while chains:
         every += chains
         chains = [(a, *c) for c in chains for a, b in e if b == c[0] and a not in c and len(c) < 6]
     frame, ids = spark.createDataFrame(sorted(e), "src long, dst long"), lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
-    for tops in ((7,), (9, 1), (100,)) if local else ((9, 1),):
+    for tops in ((9, 1), (100,)):
         want = min(every, key=lambda c: (-(1000 * (c[0] in tops) + len(c)), c))
         got = traversal.longest_up_path(frame, 3, ids(*tops), 6).first()
         assert (tuple(got["path"]), got["score"]) == (want, 1000 * (want[0] in tops) + len(want))
