@@ -218,6 +218,12 @@ def confidence_rank(column: str | Column) -> Column:
     return F.when(F.col(column) == "exact" if isinstance(column, str) else column == "exact", 2).otherwise(1)
 
 
+def adjacency_order(edges: DataFrame) -> DataFrame:
+    """(node, id, place, type, confidence): the neighbours that point at each node, the surer first, then by type and id."""
+    order = Window.partitionBy("dst").orderBy(F.desc(confidence_rank("confidence")), "type", "src")
+    return edges.select(F.col("dst").alias("node"), F.col("src").alias("id"), F.row_number().over(order).alias("place"), "type", "confidence")
+
+
 def impact(edges: DataFrame, seeds: DataFrame, direction: str = "up", depth: int = 32) -> DataFrame:
     """(…, id, hop, confidence): what a change of the seeds can touch.
 

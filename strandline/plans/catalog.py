@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from strandline.plans import degree_queries, misc_queries, text_queries, walk_queries  # noqa: F401
+from strandline.plans import degree_queries, form_queries, misc_queries, text_queries, walk_queries  # noqa: F401

@@ -124,13 +124,13 @@ def overlay_default(spark, sf_dir):
 
 @query(
     "concept_links",
-    """WITH n AS (SELECT 'p' || p_partkey AS id, 'part' || p_size || '.ts' AS name FROM part), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(*) = 1)
-    SELECT DISTINCT 'c' || s_suppkey AS src, 'mentions' AS type, id AS dst FROM supplier JOIN u ON name = 'part' || (s_suppkey % 50) || '.ts'""",
+    """WITH n AS (SELECT 'p' || p_partkey AS id, 'part' || (p_partkey - CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) || '.ts' AS name FROM part), u AS (SELECT name, min(id) AS id FROM n GROUP BY name HAVING count(*) = 1)
+    SELECT DISTINCT 'c' || s_suppkey AS src, 'mentions' AS type, id AS dst FROM supplier JOIN u ON name = 'part' || s_suppkey || '.ts'""",
 )
 def concept_links(spark, sf_dir):
-    """A file name links only where one node bears it."""
-    nodes = b.table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey) id", "'file' t", "concat('src/part', p_size, '.ts') k")
-    concepts = b.table(spark, sf_dir, "supplier").selectExpr("concat('c', s_suppkey) id", "concat('see part', s_suppkey % 50, '.ts for more') s")
+    """A file name links only where one node bears it; every third shares its neighbour's."""
+    nodes = b.table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey) id", "'file' t", "concat('src/part', p_partkey - if(p_partkey % 3 = 0, 1, 0), '.ts') k")
+    concepts = b.table(spark, sf_dir, "supplier").selectExpr("concat('c', s_suppkey) id", "concat('see part', s_suppkey, '.ts for more') s")
     return fold.link_concepts(concepts, nodes)
 
 

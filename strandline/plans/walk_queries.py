@@ -137,11 +137,11 @@ def impact_up_tests(spark, sf_dir):
     return traversal.impacted_tests(tests, hit)
 
 
-@query("importers_by_hop", f"WITH RECURSIVE {b.TYPED_CHAIN}, bf(id, hop) AS (SELECT (SELECT max(dst) FROM tc WHERE type = 'import'), 0 UNION SELECT src, hop + 1 FROM bf JOIN tc ON dst = id AND type = 'import' WHERE hop < 32) SELECT id, min(hop) AS hop FROM bf GROUP BY id HAVING min(hop) > 0")
+@query("importers_by_hop", f"WITH RECURSIVE {b.TYPED_CHAIN}, bf(id, hop) AS (SELECT (SELECT min(dst) FROM tc WHERE type = 'import'), 0 UNION SELECT src, hop + 1 FROM bf JOIN tc ON dst = id AND type = 'import' WHERE hop < 32) SELECT id, min(hop) AS hop FROM bf GROUP BY id HAVING min(hop) > 0")
 def importers_by_hop(spark, sf_dir):
     """G9."""
     e = b.typed_chain(spark, sf_dir).withColumn("type", F.when(F.col("type") == "import", "imports").otherwise("calls"))
-    return traversal.importers_by_hop(e, e.filter("type = 'imports'").agg(F.max("dst").alias("id")).filter("id IS NOT NULL"))
+    return traversal.importers_by_hop(e, e.filter("type = 'imports'").agg(F.min("dst").alias("id")).filter("id IS NOT NULL"))
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,19 +95,48 @@ def save_graph(nodes: DataFrame, edges: DataFrame, path: str, as_json: bool = Fa
 
 
 def save_snapshot(tables: dict[str, DataFrame], root: str, snapshot: str, version: int = 1) -> None:
-    """Tables of one snapshot, its meta row last: a snapshot without meta does not count."""
+    """Tables of one snapshot, published by its meta row.
+
+    Each call writes tables of its own and the meta row last, which names their
+    folder: until then readers see the earlier publication whole, and a crash
+    leaves it in place.
+    """
+    spark, run = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/snapshot={snapshot}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(snapshot, version, sorted(tables))], "snapshot string, schemaVersion int, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{root}/snapshot={snapshot}/_meta.json".replace("/_meta", "/meta"))
+        df.write.parquet(f"{root}/snapshot={snapshot}/run-{run}/{name}")
+    meta = json.dumps({"snapshot": snapshot, "schemaVersion": version, "tables": sorted(tables), "run": run})
+    publish(spark, f"{root}/snapshot={snapshot}/meta.json", meta)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """A file written under another name and moved into place, so that it is there whole or not at all.
+
+    The move replaces an earlier file where the file system can do so in one step;
+    elsewhere the earlier file goes first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    filesystem = there.getFileSystem(conf)
+    out = filesystem.create(draft, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(there.toUri(), conf)
+        options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), "OVERWRITE")
+        context.rename(draft, there, options)
+    except Exception:  # noqa: BLE001  no such file context for this scheme
+        filesystem.delete(there, False)
+        if not filesystem.rename(draft, there):
+            raise
 
 
 def read_snapshot(spark: SparkSession, root: str, snapshot: str, name: str, version: int = 1) -> DataFrame:
     """A table of a published snapshot; raises where it has no meta or a newer schema version."""
-    meta = spark.read.json(f"{root}/snapshot={snapshot}/meta.json").first()
+    meta = spark.read.schema("schemaVersion int, run string").json(f"{root}/snapshot={snapshot}/meta.json").first()
     if meta["schemaVersion"] > version:
         raise ValueError(f"snapshot {snapshot} has schema version {meta['schemaVersion']}; this engine reads up to {version}")
-    return spark.read.parquet(f"{root}/snapshot={snapshot}/{name}")
+    return spark.read.parquet(f"{root}/snapshot={snapshot}/run-{meta['run']}/{name}")
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
