@@ -189,11 +189,17 @@ class WindowClass:
     def length(self) -> int:
         return self.most if self.most <= 4 else self.most + self.stride + 1
 
+    def least_shared(self, containment: float = CONTAINMENT) -> int:
+        """Shingles that a match of the smallest template of the class shares."""
+        if self.most <= 4:
+            return self.most
+        smallest = self.most // 2 + 1 if self.most > 8 else next(s for s in range(1, 9) if class_of(s, containment).most == 8)
+        return ceil(round(containment * smallest, 9))
+
     def least_similarity(self, containment: float = CONTAINMENT) -> float:
         if self.most <= 4:
             return 1.0
-        s = self.most // 2 + 1
-        return ceil(containment * s) / (self.length + (1 - containment) * s)
+        return self.least_shared(containment) / (self.length + (1 - containment) * (self.most // 2 + 1))
 
 
 def class_of(shingles: int, containment: float = CONTAINMENT) -> WindowClass:
@@ -246,7 +252,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     classes = [WindowClass(m) for m in sorted({class_of(len(s), containment).most for s in named.values()})]
 
     def windows(c: WindowClass) -> Column:
-        starts = F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / c.stride).cast("int")), lambda k: k * c.stride)
+        # a window of fewer places than the least share of the class's smallest template cannot match
+        room = F.size("h") - c.least_shared(containment)
+        starts = F.when(room >= 0, F.transform(F.sequence(F.lit(0), F.floor(room / c.stride).cast("int")), lambda k: k * c.stride)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda a: F.struct(F.lit(c.most).alias("most"), a.alias("start"), F.sort_array(F.slice("h", a + 1, c.length)).alias("own")))
 
     cut = hashed.select("doc_id", "key", F.explode(F.concat(*[windows(c) for c in classes])).alias("w"))
