@@ -15,7 +15,7 @@ from strandline.sources import analyze, extract, files, git, project
 
 def scan_files(spark: SparkSession, root: str, globs: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, drop counts) of the tree below a root, with its own package, path and module metadata."""
-    kept, dropped = files.scan_listing(files.listing(spark, root), globs)
+    kept, dropped = files.scan_listing(files.tree_listing(spark, root), globs)
     text = kept.select("path", file_lang("path").alias("lang"), canonicalize(F.decode("content", "UTF-8")).alias("content"))
     meta = {r["path"]: r["content"] for r in text.filter(F.col("path").rlike(r"(^|/)(package\.json|tsconfig[^/]*\.json|go\.mod)$")).select("path", "content").collect()}  # manifests only
     folder = lambda p: p.rpartition("/")[0]

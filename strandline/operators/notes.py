@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import closing_numbers, issue_numbers, source_key
@@ -17,12 +21,46 @@ def latest(ledger: DataFrame, deletes: bool = True) -> DataFrame:
     return kept.filter("op != 'del'") if deletes else kept
 
 
-def append(ledger_path: str, records: DataFrame, first_seq: int) -> None:
-    """Append records with rising seq. One writer at a time: the caller serialises appends."""
-    from pyspark.sql import Window
-
-    numbered = records.withColumn("seq", (F.row_number().over(Window.orderBy("key")) - 1 + first_seq).cast("long"))  # a call's few records
-    numbered.write.mode("append").parquet(ledger_path)
+class LedgerLocked(RuntimeError):
+    """Another writer holds the ledger; nothing was written."""
+
+
+@contextmanager
+def ledger_lock(spark: SparkSession, ledger_path: str, attempts: int = 160, delay_ms: int = 25, steal_after_ms: int = 10_000):
+    """Hold a ledger alone: a lock file beside it that only one writer can create. An old one is taken for abandoned."""
+    jvm = spark.sparkContext._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(ledger_path.rstrip("/") + ".lock")
+    filesystem = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for _ in range(attempts):
+        try:
+            filesystem.create(lock, False).close()
+            break
+        except Py4JJavaError:
+            if not filesystem.exists(lock):
+                continue
+            age = time.time() * 1000 - filesystem.getFileStatus(lock).getModificationTime()
+            if 0 < steal_after_ms < age:
+                filesystem.delete(lock, False)
+            time.sleep(delay_ms / 1000)
+    else:
+        raise LedgerLocked(f"{ledger_path} is held by another writer ({attempts} attempts)")
+    try:
+        yield
+    finally:
+        filesystem.delete(lock, False)
+
+
+def append(ledger_path: str, records: DataFrame) -> int:
+    """Append records under the ledger's lock, their seq following on the last one's; gives the first seq written."""
+    spark = records.sparkSession
+    with ledger_lock(spark, ledger_path):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        last = spark.read.parquet(ledger_path).agg(F.max("seq")).first()[0] if there else None
+        first = 0 if last is None else last + 1
+        numbered = records.withColumn("seq", (F.row_number().over(Window.orderBy("key")) - 1 + first).cast("long"))  # a call's few records
+        numbered.write.mode("append").parquet(ledger_path)
+    return first
 
 
 def source_keys(nodes: DataFrame, files: DataFrame) -> DataFrame:

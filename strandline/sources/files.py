@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import subprocess
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,58 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return df.select(rel.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), "content")
 
 
+def tracked_paths(root: str) -> tuple[list[str], bool]:
+    """(paths, degraded) of a working tree: tracked and untracked files that git does not ignore, hidden ones too.
+
+    Without git the tree is walked, version-control folders left out, and degraded is true.
+    """
+    asked = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, check=False)
+    if asked.returncode == 0:
+        return sorted({os.fsdecode(p) for p in asked.stdout.split(b"\0") if p}), False
+    found = []
+    for top, dirs, names in os.walk(root):
+        dirs[:] = [d for d in dirs if d != ".git"]
+        found += [os.path.relpath(os.path.join(top, n), root) for n in names if os.path.isfile(os.path.join(top, n))]
+    return sorted(found), True
+
+
+def tracked_listing(spark: SparkSession, root: str, most_kb: int = FILE_KB) -> DataFrame:
+    """(path, size, mtime_ms, content) of a working tree by git's own listing; root is a path all executors see.
+
+    Names come from git on the driver; tasks look the files up. A file that is gone
+    has null size; content is read only up to the size gate, else null.
+    """
+    paths, _ = tracked_paths(root)
+    names = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // 2000))
+
+    def look(batches):
+        for batch in batches:
+            rows = [[], [], [], []]
+            for p in batch.column(0).to_pylist():
+                full, size, stamp, content = os.path.join(root, p), None, None, None
+                try:
+                    st = os.stat(full)
+                    if os.path.isfile(full):
+                        size, stamp = st.st_size, st.st_mtime * 1000
+                        if size <= most_kb * 1024:
+                            with open(full, "rb") as f:
+                                content = f.read()
+                except OSError:  # it went between the listing and now
+                    size = None
+                for col, x in zip(rows, (p, size, stamp, content)):
+                    col.append(x)
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["path", "size", "mtime_ms", "content"])
+
+    return names.mapInArrow(look, "path string, size long, mtime_ms double, content binary")
+
+
+def tree_listing(spark: SparkSession, root: str, most_kb: int = FILE_KB) -> DataFrame:
+    """A local tree by git's listing, any other by Spark's reader."""
+    local = root.removeprefix("file://") if root.startswith("file://") or "://" not in root else None
+    return listing(spark, root) if local is None else tracked_listing(spark, local, most_kb)
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 

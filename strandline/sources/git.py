@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.operators.graph import state_counters, worst_state
+from strandline.schemas import GIT_RANK
+from strandline.sources.files import publish
 
 
 def porcelain_states(raw: str) -> list[tuple[str, str]]:
@@ -81,6 +83,66 @@ class GitStatusSource(DataSource):
         return GitStatusReader([r for r in self.options["roots"].split(",") if r])
 
 
+def tracking(root: str) -> dict:
+    """Branch, upstream, commits ahead and behind, tracked files and notes of a working tree."""
+
+    def run(*a):
+        done = subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=False)
+        return done.stdout if done.returncode == 0 else None
+
+    if run("rev-parse", "--is-inside-work-tree") is None:
+        raise ValueError(f"{root} is no working tree of git")
+    branch = (run("rev-parse", "--abbrev-ref", "HEAD") or "").strip() or None
+    begun = run("rev-parse", "--verify", "HEAD") is not None
+    upstream = (run("rev-parse", "--abbrev-ref", "--symbolic-full-name", "@{upstream}") or "").strip() or None
+    ahead = behind = 0
+    remarks = []
+    if not begun:
+        remarks.append("no commit yet: nothing can be pushed")
+    elif upstream is None:
+        remarks.append("no upstream: only changes of the working tree are known")
+    elif (counted := run("rev-list", "--left-right", "--count", f"{upstream}...HEAD")) is not None:
+        behind, ahead = map(int, counted.split())
+    tracked = sum(1 for x in (run("ls-files", "-z") or "").split("\0") if x)
+    return {"branch": None if branch == "HEAD" else branch, "detached": branch == "HEAD", "upstream": upstream, "ahead": ahead, "behind": behind, "tracked": tracked, "notes": remarks}
+
+
+def save_git_overlay(spark: SparkSession, worst: DataFrame, about: dict, path: str, version: int = 1) -> None:
+    """One JSON file of what git adds: listed states other than pushed, counters, branch. Listed files are a working tree's changes."""
+    listed = {r["path"]: r["state"] for r in worst.filter("state != 'pushed'").orderBy("path").collect()}
+    counts = {r["state"]: r["n"] for r in state_counters(worst, about["tracked"]).collect()}
+    own = {k: v for k, v in about.items() if k != "tracked"}
+    publish(spark, path, json.dumps({"v": version, **own, "files": listed, "default": "pushed", "counts": {s: counts.get(s, 0) for s in GIT_RANK}}, indent=1))
+
+
+def save_issue_overlay(issues: DataFrame, path: str) -> None:
+    """Issues, one JSON line each, in order of number."""
+    issues.orderBy("number").write.mode("overwrite").json(path)
+
+
+def issue_relations(call, most_pages: int = 50) -> dict[int, dict] | None:
+    """Blockers and sub-issues of every issue, by pages of 100; None where a page fails, so that no half answer passes for a whole one.
+
+    call(cursor) gives a page of the tracker's GraphQL answer: pageInfo and nodes.
+    """
+    found, cursor = {}, None
+    for _ in range(most_pages):
+        page = call(cursor)
+        if not page:
+            return None
+        for n in page.get("nodes") or []:
+            blockers = (n.get("blockedBy") or {}).get("nodes") or []
+            found[n["number"]] = {
+                "dbid": n.get("databaseId"), "blockedBy": [x["number"] for x in blockers],
+                "blockedByState": {x["number"]: str(x["state"]).lower() for x in blockers}, "subs": [x["number"] for x in (n.get("subIssues") or {}).get("nodes") or []],
+            }
+        info = page.get("pageInfo") or {}
+        if not info.get("hasNextPage"):
+            return found
+        cursor = info["endCursor"]
+    return found
+
+
 def overlay(states: DataFrame, tracked: int) -> tuple[DataFrame, DataFrame]:
     """(worst state of each path, counters): what git adds to a file graph."""
     worst = worst_state(states.select("path", "state"))
