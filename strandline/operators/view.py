@@ -163,11 +163,17 @@ def bounded_notes(counts: DataFrame, shown: DataFrame, most: int = NOTE_BYTES) -
     return rows.orderBy(F.desc("n"), "id").limit(most // 10).withColumn("spent", F.sum("bytes").over(w)).filter(F.col("spent") <= most).select("id", "n")
 
 
-def html_page(nodes: DataFrame, edges: DataFrame, title: str = "graph") -> str:
-    """A self-contained page of a bounded graph: its JSON inside a script element, < escaped, no network use."""
+def html_page(nodes: DataFrame, edges: DataFrame, title: str = "graph", most: int = VIEW_BYTES) -> str:
+    """A self-contained page of a bounded graph: its JSON inside a script element, < escaped, no network use.
+
+    Raises where the finished page has more than the given bytes: bound the graph first, see bounded_view().
+    """
     as_json = lambda d: [r[0] for r in d.select(escape_json_island(F.to_json(F.struct("*")))).collect()]  # noqa: E731  callers pass a bounded view
     page = "<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{t}</title></head><body><script type=\"application/json\" id=\"data\">{{\"nodes\":[{n}],\"edges\":[{e}]}}</script></body></html>"
-    return page.format(t=title.replace("<", ""), n=",".join(as_json(nodes)), e=",".join(as_json(edges)))
+    out = page.format(t=title.replace("<", ""), n=",".join(as_json(nodes)), e=",".join(as_json(edges)))
+    if (size := len(out.encode("utf-8"))) > most:
+        raise ValueError(f"the page has {size} bytes of {most}; show a smaller part")
+    return out
 
 
 def replace_section(text: str, name: str, body: str) -> str:

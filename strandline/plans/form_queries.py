@@ -518,3 +518,50 @@ def agent_summaries(spark, sf_dir):
     e = b.table(spark, sf_dir, "events")
     writes = e.select(F.col("event_id").alias("seq"), F.expr("'u' || user_id").alias("id"), F.expr("'said ' || event_id").alias("s"), F.lit("x").alias("h"))
     return filegraph.agent_writes(nodes, writes).select("id", "s", F.col("by").alias("author"), "st")
+
+
+@query(
+    "paired_tests",
+    """WITH p AS (SELECT p_partkey AS k, 'd' || (p_partkey % 4) AS dir FROM part),
+    s AS (SELECT dir || '/x' || k || '.py' AS subject, 'x' || k AS stem, dir FROM p WHERE k % 3 <> 0 UNION ALL SELECT 'other/y' || k || '.go', 'y' || k, 'other' FROM p WHERE k % 3 = 0),
+    t AS (SELECT dir || '/test_x' || k || '.py' AS test, 'x' || k AS stem, dir FROM p UNION ALL SELECT dir || '/y' || k || '_test.go', 'y' || k, dir FROM p WHERE k % 2 = 0)
+    SELECT test, subject FROM t JOIN s USING (stem)""",
+)
+def paired_tests(spark, sf_dir):
+    """A test meets the file of its stem beside it, else the only one anywhere."""
+    p = b.table(spark, sf_dir, "part")
+    every = [
+        p.filter("p_partkey % 3 != 0").select(F.expr("'d' || (p_partkey % 4) || '/x' || p_partkey || '.py'").alias("path")),
+        p.filter("p_partkey % 3 = 0").select(F.expr("'other/y' || p_partkey || '.go'").alias("path")),
+        p.select(F.expr("'d' || (p_partkey % 4) || '/test_x' || p_partkey || '.py'").alias("path")),
+        p.filter("p_partkey % 2 = 0").select(F.expr("'d' || (p_partkey % 4) || '/y' || p_partkey || '_test.go'").alias("path")),
+    ]
+    return filegraph.pair_tests(every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]))
+
+
+@query(
+    "note_budget",
+    """WITH c AS (SELECT event_id % 5000 AS id, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, sum(length('{"id":' || id || ',"n":' || n || '}')) OVER (ORDER BY n DESC, id ROWS UNBOUNDED PRECEDING) AS spent FROM c)
+    SELECT id, n FROM r WHERE spent <= 65536""",
+)
+def note_budget(spark, sf_dir):
+    """Note counts of shown nodes, the largest first, within 64 KiB."""
+    counts = b.table(spark, sf_dir, "events").groupBy((F.col("event_id") % 5000).alias("id")).agg(F.count("*").alias("n"))
+    return view.bounded_notes(counts, counts.select("id"))
+
+
+@query(
+    "brief_card",
+    f"""WITH {TYPED_LINES}, z AS (SELECT max(p_partkey) AS k FROM part), p AS (SELECT part.* FROM part JOIN z ON p_partkey = k),
+    u AS (SELECT count(*) AS n, count(*) FILTER (confidence = 'exact') AS e FROM tl, z WHERE dst = 'p' || k AND type <> 'contains'),
+    t AS (SELECT coalesce(string_agg('test ' || src || chr(10), '' ORDER BY src), '') AS tests FROM (SELECT DISTINCT src FROM tl, z WHERE dst = 'p' || k AND type = 'tests' ORDER BY src LIMIT 2))
+    SELECT 'function f' || k || ' src/' || p_name || '.ts:2-4' || chr(10) || p_type || chr(10) || CASE WHEN n > 0 THEN 'up ' || n || ' (' || e || ' exact)' || chr(10) ELSE '' END || tests
+    || 'line 2' || chr(10) || 'line 3' || chr(10) || 'line 4' || chr(10) AS card FROM p, z, u, t""",
+)
+def brief_card(spark, sf_dir):
+    """Place, signature, references, two tests and the first lines of one symbol."""
+    part, top = b.table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    last = part.agg(F.max("p_partkey")).first()[0]
+    nodes = part.select(F.concat(F.lit("p"), top).alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("f"), top).alias("name"), F.expr("'src/' || p_name || '.ts'").alias("path"), F.struct(F.lit(2).alias("sl"), F.lit(4).alias("el")).alias("span"), F.col("p_type").alias("sig"))
+    texts = part.filter(F.col("p_partkey") == last).select(F.expr("'src/' || p_name || '.ts'").alias("path"), F.lit("\n".join(f"line {i}" for i in range(1, 9))).alias("content"))
+    return spark.createDataFrame([(view.brief(nodes, typed_lines(spark, sf_dir), texts, f"p{last}"),)], "card string")

@@ -25,19 +25,26 @@ def two_phase_death(stream: DataFrame) -> DataFrame:
     """(id, scan, st) transitions of a stream(id, scan long, present boolean) of scan results.
 
     A node absent once is dead, absent twice deleted, and ok again when it is back.
+    State is kept for living and dead nodes only: a deleted one is forgotten, and
+    the absence of a node that no state knows says nothing.
     """
 
     def step(key, frames, state: GroupState):
-        misses = state.get[0] if state.exists else 0
+        misses = state.get[0] if state.exists else None
         out = []
         for frame in frames:
             for row in frame.sort_values("scan").itertuples():
-                was = misses
-                misses = 0 if row.present else misses + 1
-                st = "ok" if misses == 0 else "dead" if misses == 1 else "deleted"
-                if misses != was and misses <= 2 or was == misses == 0:
-                    out.append((key[0], row.scan, st))
-        state.update((min(misses, 3),))
+                if row.present:
+                    out.append((key[0], row.scan, "ok"))
+                    misses = 0
+                elif misses is not None:
+                    misses += 1
+                    out.append((key[0], row.scan, "dead" if misses == 1 else "deleted"))
+                    misses = misses if misses < 2 else None
+        if misses is not None:
+            state.update((misses,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["id", "scan", "st"])
 
     return stream.groupBy("id").applyInPandasWithState(step, "id string, scan long, st string", "misses int", "append", GroupStateTimeout.NoTimeout)

@@ -350,7 +350,7 @@ def test_streams(spark, tmp_path):
     from strandline.streaming import incremental as S
 
     (tmp_path / "in").mkdir()
-    rows = [("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 1, True), ("b", 2, False), ("b", 3, True)]
+    rows = [("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 1, True), ("b", 2, False), ("b", 3, True), ("a", 4, False), ("c", 1, False)]
     spark.createDataFrame(rows, "id string, scan long, present boolean").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id string, scan long, present boolean").parquet(str(tmp_path / "in"))
     q = S.two_phase_death(stream).writeStream.format("memory").queryName("deaths").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()

@@ -3,7 +3,6 @@
 from collections import defaultdict
 
 import duckdb
-import pytest
 
 from strandline.operators import traversal
 from strandline.plans import bindings, registry
@@ -50,33 +49,6 @@ def test_chain_holds_all_consecutive_parts(spark):
     assert {tuple(r) for r in bindings.part_chain(spark, SF).collect()} == pairs()
 
 
-def test_walks_over_the_whole_chain(spark):
-    e = pairs()
-    low, top = min(a for a, _ in e), max(b for _, b in e)
-    beyond = lambda h: sorted((k, v) for k, v in h.items() if v)
-    assert ran(spark, "reach_down", "id", "hop") == beyond(bfs(e, [low]))
-    assert ran(spark, "reach_up", "id", "hop") == beyond(bfs(up(e), [top]))
-    assert ran(spark, "impact_down", "id", "hop") == beyond(bfs(e, [low]))
-    assert ran(spark, "impact_both", "id", "hop") == beyond(bfs(e | up(e), [low]))
-    exact = {x for x in e if sum(x) % 3}
-    assert {r["id"] for r in registry.queries()["impact_down"](spark, SF).filter("confidence = 'exact'").collect()} == set(bfs(exact, [low])) - {low}
-    imports = {(a, b) for a, b in e if a > b}
-    assert ran(spark, "importers_by_hop", "id", "hop") == beyond(bfs(up(imports), [min(b for _, b in imports)]))
-    assert ran(spark, "shortest_path_len", "goal", "n_edges") == [(top, bfs(e | up(e), [low])[top])]
-    counts = [(d, sum(v == 1 for v in h.values()), len(h) - 1) for d, h in (("down", bfs(e, [low])), ("up", bfs(up(e), [low])))]
-    assert ran(spark, "context_counts", "dir", "direct", "transitive") == counts
-    ids = {x for p in e for x in p}
-    roots = {x for x in ids if x % 70 == 0} | ids - {b for _, b in e}
-    assert ran(spark, "flow_roots", "id") == [(x,) for x in sorted(roots)]
-    depth = bfs(e, roots)
-    assert sorted(((r["id"], r["depth"]) for r in registry.queries()["flow_depth"](spark, SF).collect())) == sorted((x, depth.get(x)) for x in ids)
-    near = {k: v for k, v in bfs(e | up(e), [low], 2).items() if v}
-    assert ran(spark, "neighbors_d2", "id", "hop") == sorted(near.items())
-    hit = set(bfs(up(e), [top]))
-    tests = {f"s{s}" for s, p in read("SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'") if p in hit}
-    assert ran(spark, "impact_up_tests", "path") == [(t,) for t in sorted(tests)]
-
-
 def test_layers_have_no_last_round(spark):
     n = 6
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-1, -2), (-2, -1), (-2, -3)], "src long, dst long")
