@@ -255,7 +255,7 @@ def soft_segment(spark, sf_dir):
     """SRC11: a corrupt segment counts as empty, a sound one is read."""
     good = _lines(b.table(spark, sf_dir, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("value")), spark, "good")
     bad = _lines(spark.range(1).select(F.lit("{").alias("value")), spark, "bad")
-    kind = "n_nationkey long, n_name string"
+    kind = "n_nationkey int, n_name string"
     return files.read_soft(spark, good, kind).unionByName(files.read_soft(spark, bad, kind)).unionByName(files.read_soft(spark, good + "-missing", kind))
 
 
