@@ -565,3 +565,35 @@ def brief_card(spark, sf_dir):
     nodes = part.select(F.concat(F.lit("p"), top).alias("id"), F.lit("function").alias("kind"), F.concat(F.lit("f"), top).alias("name"), F.expr("'src/' || p_name || '.ts'").alias("path"), F.struct(F.lit(2).alias("sl"), F.lit(4).alias("el")).alias("span"), F.col("p_type").alias("sig"))
     texts = part.filter(F.col("p_partkey") == last).select(F.expr("'src/' || p_name || '.ts'").alias("path"), F.lit("\n".join(f"line {i}" for i in range(1, 9))).alias("content"))
     return spark.createDataFrame([(view.brief(nodes, typed_lines(spark, sf_dir), texts, f"p{last}"),)], "card string")
+
+#: A source file a part, one of six languages or none that is known; the text is the same in both dialects, § for a line break.
+SOURCE = """CASE p_partkey % 7
+    WHEN 0 THEN 'def f' || p_partkey || '(a):§    return g(a)§§class C' || p_partkey || ':§    def m(self):§        return 1§'
+    WHEN 1 THEN 'export function f' || p_partkey || '(a: number) {§  return a;§}§export class C' || p_partkey || ' { m() { return 1; } static n(): void {} }§'
+    WHEN 2 THEN 'package p§§func F' || p_partkey || '(a int) int {§  return a§}§§type T' || p_partkey || ' struct {§  x int§}§§func (t *T' || p_partkey || ') M() {}§'
+    WHEN 3 THEN 'pub fn f' || p_partkey || '(a: i32) -> i32 {§    a§}§§pub struct S' || p_partkey || ' {§    x: i32,§}§§impl S' || p_partkey || ' {§    pub fn new() -> S {}§}§'
+    WHEN 4 THEN 'package p;§§public class C' || p_partkey || ' {§    public int m(int a) {§        return a;§    }§}§'
+    WHEN 5 THEN 'namespace N {§    public class C' || p_partkey || ' {§        public int M(int a) {§            return a;§        }§    }§}§'
+    ELSE 'func f' || p_partkey || '() {§  x§}§' END"""
+SOURCE_PATH = "'src/s' || p_partkey || CASE p_partkey % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' WHEN 3 THEN '.rs' WHEN 4 THEN '.java' WHEN 5 THEN '.cs' ELSE '.zig' END"
+
+
+@query(
+    "extracted_defs",
+    f"""WITH s AS (SELECT {SOURCE_PATH} AS path, p_partkey % 7 AS r, p_partkey AS k FROM part),
+    d AS (SELECT path, unnest(CASE r
+      WHEN 0 THEN [{{'kind': 'function', 'name': 'f' || k, 'sl': 1, 'el': 2}}, {{'kind': 'class', 'name': 'C' || k, 'sl': 4, 'el': 6}}, {{'kind': 'method', 'name': 'm', 'sl': 5, 'el': 6}}]
+      WHEN 1 THEN [{{'kind': 'function', 'name': 'f' || k, 'sl': 1, 'el': 3}}, {{'kind': 'class', 'name': 'C' || k, 'sl': 4, 'el': 4}}, {{'kind': 'method', 'name': 'm', 'sl': 4, 'el': 4}}, {{'kind': 'method', 'name': 'n', 'sl': 4, 'el': 4}}]
+      WHEN 2 THEN [{{'kind': 'function', 'name': 'F' || k, 'sl': 3, 'el': 5}}, {{'kind': 'class', 'name': 'T' || k, 'sl': 7, 'el': 9}}, {{'kind': 'method', 'name': 'M', 'sl': 11, 'el': 11}}]
+      WHEN 3 THEN [{{'kind': 'function', 'name': 'f' || k, 'sl': 1, 'el': 3}}, {{'kind': 'class', 'name': 'S' || k, 'sl': 5, 'el': 7}}, {{'kind': 'impl', 'name': 'S' || k, 'sl': 9, 'el': 11}}, {{'kind': 'function', 'name': 'new', 'sl': 10, 'el': 10}}]
+      WHEN 4 THEN [{{'kind': 'class', 'name': 'C' || k, 'sl': 3, 'el': 7}}, {{'kind': 'method', 'name': 'm', 'sl': 4, 'el': 6}}]
+      WHEN 5 THEN [{{'kind': 'class', 'name': 'C' || k, 'sl': 2, 'el': 6}}, {{'kind': 'method', 'name': 'M', 'sl': 3, 'el': 5}}]
+      ELSE [{{'kind': 'symbol', 'name': 'f' || k, 'sl': 1, 'el': 3}}] END) AS d FROM s)
+    SELECT path, d.kind AS kind, d.name AS name, d.sl AS sl, d.el AS el FROM d""",
+)
+def extracted_defs(spark, sf_dir):
+    """Definitions with their kinds and lines, by each language's extractor."""
+    from strandline.sources.extract import extract
+
+    rows = b.table(spark, sf_dir, "part").select(F.expr(SOURCE_PATH).alias("path"), F.replace(F.expr(SOURCE), F.lit("§"), F.lit("\n")).alias("content"))
+    return extract(rows).select("path", F.explode("defs").alias("d")).select("path", "d.kind", "d.name", "d.sl", "d.el")

@@ -251,15 +251,17 @@ def _end(code: str, at: int) -> int:
 
 
 ID = r"[A-Za-z_$][\w$]*"
+#: Where a definition may begin: on a new line, or behind a bracket or semicolon of the same one.
+_AT = r"(?:^|(?<=[;{}]))"
 _GEN = r"(?:<[^>{}()]*>)?"
 TS_DEFS = (
-    ("function", re.compile(rf"^[ \t]*(?P<exp>export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>{ID})\s*{_GEN}\s*\((?P<params>[^)]*)\)(?P<ret>\s*:\s*[^{{;\n]+)?", re.M)),
-    ("function", re.compile(rf"^[ \t]*(?P<exp>export\s+)?(?:const|let|var)\s+(?P<name>{ID})\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\s*\*?\s*(?:{ID})?\s*\((?P<params2>[^)]*)\)|{_GEN}\((?P<params>[^)]*)\)(?:\s*:\s*[^=\n]+)?\s*=>|(?P<params3>{ID})\s*=>)", re.M)),
-    ("function", re.compile(rf"^[ \t]*(?P<exp>(?:module\.)?exports\.)(?P<name>{ID})\s*=\s*(?:async\s+)?(?:function\s*(?:{ID})?\s*)?\((?P<params>[^)]*)\)", re.M)),
-    ("class", re.compile(rf"^[ \t]*(?P<exp>export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+(?P<name>{ID})(?P<gen>{_GEN})(?P<heads>[^{{;]*)", re.M)),
-    ("interface", re.compile(rf"^[ \t]*(?P<exp>export\s+)?(?:declare\s+)?interface\s+(?P<name>{ID})(?P<gen>{_GEN})(?P<heads>[^{{;]*)", re.M)),
-    ("enum", re.compile(rf"^[ \t]*(?P<exp>export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(?P<name>{ID})", re.M)),
-    ("type", re.compile(rf"^[ \t]*(?P<exp>export\s+)?(?:declare\s+)?type\s+(?P<name>{ID})(?P<gen>{_GEN})\s*=", re.M)),
+    ("function", re.compile(rf"{_AT}[ \t]*(?P<exp>export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>{ID})\s*{_GEN}\s*\((?P<params>[^)]*)\)(?P<ret>\s*:\s*[^{{;\n]+)?", re.M)),
+    ("function", re.compile(rf"{_AT}[ \t]*(?P<exp>export\s+)?(?:const|let|var)\s+(?P<name>{ID})\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\s*\*?\s*(?:{ID})?\s*\((?P<params2>[^)]*)\)|{_GEN}\((?P<params>[^)]*)\)(?:\s*:\s*[^=\n]+)?\s*=>|(?P<params3>{ID})\s*=>)", re.M)),
+    ("function", re.compile(rf"{_AT}[ \t]*(?P<exp>(?:module\.)?exports\.)(?P<name>{ID})\s*=\s*(?:async\s+)?(?:function\s*(?:{ID})?\s*)?\((?P<params>[^)]*)\)", re.M)),
+    ("class", re.compile(rf"{_AT}[ \t]*(?P<exp>export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+(?P<name>{ID})(?P<gen>{_GEN})(?P<heads>[^{{;]*)", re.M)),
+    ("interface", re.compile(rf"{_AT}[ \t]*(?P<exp>export\s+)?(?:declare\s+)?interface\s+(?P<name>{ID})(?P<gen>{_GEN})(?P<heads>[^{{;]*)", re.M)),
+    ("enum", re.compile(rf"{_AT}[ \t]*(?P<exp>export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+(?P<name>{ID})", re.M)),
+    ("type", re.compile(rf"{_AT}[ \t]*(?P<exp>export\s+)?(?:declare\s+)?type\s+(?P<name>{ID})(?P<gen>{_GEN})\s*=", re.M)),
 )
 GO_DEFS = (
     ("method", re.compile(rf"^func\s*\(\s*(?:\w+\s+)?\*?(?P<recv>\w+)(?:\[[^\]]*\])?\s*\)\s*(?P<name>{ID})\s*\((?P<params>[^)]*)\)(?P<ret>[^{{\n]*)", re.M)),
@@ -270,13 +272,13 @@ GO_DEFS = (
 _VIS = r"pub\b\s*(?:\([\w\s:]+\)\s*)?"
 _RPUB = rf"(?P<exp>{_VIS})?"
 RUST_DEFS = (
-    ("function", re.compile(rf"^[ \t]*{_RPUB}(?:(?:async|const|unsafe|extern\s+\"[^\"]*\")\s+)*fn\s+(?P<name>{ID}){_GEN}\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{{;\n]+)?", re.M)),
-    ("class", re.compile(rf"^[ \t]*{_RPUB}struct\s+(?P<name>{ID})", re.M)),
-    ("enum", re.compile(rf"^[ \t]*{_RPUB}enum\s+(?P<name>{ID})", re.M)),
-    ("interface", re.compile(rf"^[ \t]*{_RPUB}trait\s+(?P<name>{ID})", re.M)),
-    ("type", re.compile(rf"^[ \t]*{_RPUB}(?:union|type)\s+(?P<name>{ID})", re.M)),
-    ("module", re.compile(rf"^[ \t]*{_RPUB}mod\s+(?P<name>{ID})\s*(?={{)", re.M)),
-    ("impl", re.compile(rf"^[ \t]*(?:unsafe\s+)?impl\s*{_GEN}\s*(?:(?P<trait>[\w:]+){_GEN}\s+for\s+)?(?P<name>{ID}){_GEN}", re.M)),
+    ("function", re.compile(rf"{_AT}[ \t]*{_RPUB}(?:(?:async|const|unsafe|extern\s+\"[^\"]*\")\s+)*fn\s+(?P<name>{ID}){_GEN}\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{{;\n]+)?", re.M)),
+    ("class", re.compile(rf"{_AT}[ \t]*{_RPUB}struct\s+(?P<name>{ID})", re.M)),
+    ("enum", re.compile(rf"{_AT}[ \t]*{_RPUB}enum\s+(?P<name>{ID})", re.M)),
+    ("interface", re.compile(rf"{_AT}[ \t]*{_RPUB}trait\s+(?P<name>{ID})", re.M)),
+    ("type", re.compile(rf"{_AT}[ \t]*{_RPUB}(?:union|type)\s+(?P<name>{ID})", re.M)),
+    ("module", re.compile(rf"{_AT}[ \t]*{_RPUB}mod\s+(?P<name>{ID})\s*(?={{)", re.M)),
+    ("impl", re.compile(rf"{_AT}[ \t]*(?:unsafe\s+)?impl\s*{_GEN}\s*(?:(?P<trait>[\w:]+){_GEN}\s+for\s+)?(?P<name>{ID}){_GEN}", re.M)),
 )
 _MODS = r"(?P<mods>(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|async|override|virtual|readonly|default|synchronized|native|extern|new|unsafe)\s+)*)"
 JAVA_DEFS = (
@@ -287,7 +289,7 @@ JAVA_DEFS = (
     ("method", re.compile(rf"^[ \t]*{_MODS}(?:{_GEN}\s*[\w.]+{_GEN}(?:\[\])*\??\s+)?(?P<name>{ID})\s*{_GEN}\((?P<params>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:throws\s+[\w.,\s]+|where\s+[^{{;]+)?(?=\{{|;|=>)", re.M)),
 )
 CSHARP_DEFS = (*JAVA_DEFS, ("class", re.compile(rf"^[ \t]*{_MODS}struct\s+(?P<name>{ID})(?P<gen>{_GEN})(?P<heads>[^{{;]*)", re.M)))
-_METHOD = re.compile(rf"^[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*)\*?\s*(?P<name>#?{ID})\s*{_GEN}\((?P<params>[^)]*)\)(?P<ret>\s*:\s*[^{{;\n]+)?\s*(?=\{{)", re.M)
+_METHOD = re.compile(rf"{_AT}[ \t]*(?P<mods>(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*)\*?\s*(?P<name>#?{ID})\s*{_GEN}\((?P<params>[^)]*)\)(?P<ret>\s*:\s*[^{{;\n]+)?\s*(?=\{{)", re.M)
 
 
 def _head_names(heads: str, lang: str) -> list[tuple[str, str]]:
@@ -309,7 +311,7 @@ def _scan_defs(text: str, code: str, lang: str, patterns, facts: dict) -> None:
         for m in pattern.finditer(code):
             g = m.groupdict()
             name, sb = m["name"], m.start() + len(m[0]) - len(m[0].lstrip())
-            if name in NOT_CALLS or kind == "method" and lang in ("java", "csharp") and re.match(r"\s*(?:return|new|throw|else|await)\b", m[0]):
+            if (name in NOT_CALLS and lang not in ("rust", "go")) or kind == "method" and lang in ("java", "csharp") and re.match(r"\s*(?:return|new|throw|else|await)\b", m[0]):
                 continue
             eb = _end(code, m.end())
             params = next((g[p] for p in ("params", "params2", "params3") if g.get(p) is not None), None)

@@ -368,3 +368,11 @@ def test_check_state(spark, tmp_path):
     files.init_store(str(tmp_path / "s"))
     files.init_store(str(tmp_path / "s"))
     assert (tmp_path / "s/.gitignore").read_text().count("cache/") == 1
+
+
+def test_definitions_behind_brackets_of_a_line():
+    ts = "class A { foo() { return this.bar(); } static bar(x: number): string { if (x) { return 'a'; } return baz(x); } } export function one() { function inner(y) { return y; } return inner(1); }\n"
+    got = [(d["kind"], d["name"], d["ownerKey"]) for d in extract.extract_ts(ts, "typescript")["defs"]]
+    assert got == [("class", "A", None), ("method", "foo", "d1"), ("method", "bar", "d1"), ("function", "one", None), ("function", "inner", "d4")]
+    rust = "pub struct P; impl P { pub fn new() -> P { P } fn go(&self) {} } mod m { pub fn q() {} }\n"
+    assert [d["name"] for d in extract.extract_rust(rust)["defs"]] == ["P", "P", "new", "go", "m", "q"]
