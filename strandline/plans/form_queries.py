@@ -597,3 +597,35 @@ def extracted_defs(spark, sf_dir):
 
     rows = b.table(spark, sf_dir, "part").select(F.expr(SOURCE_PATH).alias("path"), F.replace(F.expr(SOURCE), F.lit("§"), F.lit("\n")).alias("content"))
     return extract(rows).select("path", F.explode("defs").alias("d")).select("path", "d.kind", "d.name", "d.sl", "d.el")
+
+
+@query(
+    "documented_modules",
+    "SELECT 'src/d' || p_partkey || '.ts' AS path, 'Doc ' || p_partkey || ' of the module.' AS summary, 'f' || p_partkey AS name, 6 AS sl FROM part",
+)
+def documented_modules(spark, sf_dir):
+    """The head comment is the summary; what stands in comments is no definition, and lines count through them."""
+    from strandline.sources.extract import extract
+
+    text = F.expr("'/**§ * Doc ' || p_partkey || ' of the module.§ */§/* function ghost() {} */§// class Gone {}§export function f' || p_partkey || '() {§}§'")
+    rows = b.table(spark, sf_dir, "part").select(F.expr("'src/d' || p_partkey || '.ts'").alias("path"), F.replace(text, F.lit("§"), F.lit("\n")).alias("content"))
+    return extract(rows).select("path", F.col("moduleSummary").alias("summary"), F.explode("defs").alias("d")).select("path", "summary", "d.name", "d.sl")
+
+
+@query(
+    "file_graph",
+    f"""WITH p AS (SELECT p_partkey AS k, 'src/m' || (p_partkey % 10) AS dir FROM part)
+    SELECT dir || '/f' || k || '.ts' AS src, 'imports' AS type, dir || '/f' || (k + 10) || '.ts' AS dst FROM p WHERE k + 10 <= {TOP}
+    UNION ALL SELECT dir || '/f' || k || '.ts', 'part-of', dir FROM p UNION SELECT DISTINCT dir, 'part-of', 'src' FROM p""",
+)
+def file_graph(spark, sf_dir):
+    """Imports of analysed sources, files in their modules, modules in theirs."""
+    from strandline.sources.analyze import analyze_files
+
+    rows = b.table(spark, sf_dir, "part").select(
+        F.expr("'src/m' || (p_partkey % 10) || '/f' || p_partkey || '.ts'").alias("path"), F.lit("ts").alias("lang"),
+        F.replace(F.expr("'import { a } from ''./f' || (p_partkey + 10) || ''';§export const x = 1;§'"), F.lit("§"), F.lit("\n")).alias("content"),
+    )
+    nodes, edges = filegraph.build_file_graph(analyze_files(rows))
+    key = lambda side: nodes.select(F.col("id").alias(side), F.col("k").alias(side + "_k"))
+    return edges.join(key("src"), "src").join(key("dst"), "dst").select(F.col("src_k").alias("src"), "type", F.col("dst_k").alias("dst"))
