@@ -244,7 +244,7 @@ def embedding_duplicates(
 QUERY_BLOCK = 1024
 SHARD_ROWS = 8192
 #: Rows whose bounds hold together, and terms traversed or probed before rows are tested again.
-CHUNK_ROWS, STEP = 1024, 8
+CHUNK_ROWS, STEP = 4096, 8
 
 
 class Shard:
