@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.paths import TS_EXTENSIONS, basename, dirname, is_adr, is_test_file, join_posix, node_type, tags, test_subject
 from strandline.functions.text import file_id, structural_summary
-from strandline.operators.graph import fan_in_weights, infer_modules, nearest_module, unique_only
+from strandline.operators.graph import assign_ids, fan_in_weights, infer_modules, nearest_module, unique_only
 from strandline.operators.resolve import first_existing, python_candidates, ts_candidates
 from strandline.storage import materialize
 
@@ -135,6 +135,8 @@ def link_mentions(found: DataFrame) -> DataFrame:
 def expand(found: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbol nodes, edges) of files: anchors as symbols that end before the next, exports, and calls within a file.
 
+    A name told more than once in a file is one symbol, at its first line; keys
+    whose ids collide at six digits get longer ones, so none is dropped.
     A symbol calls another of its file if the other's name, with an opening
     bracket, stands in its lines: bodies are read once for their called names,
     which meet the file's symbols by equality. Names that are no identifier, few
@@ -142,8 +144,10 @@ def expand(found: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     """
     order = Window.partitionBy("path").orderBy("line", "name")
     a = found.select("path", "loc", F.explode("anchors").alias("x")).select("path", "loc", "x.*")
+    a = a.groupBy("path", "loc", "name").agg(F.min("line").alias("line"), F.bool_or("exported").alias("exported"))
     spans = a.withColumn("end", F.coalesce(F.lead("line").over(order) - 1, F.col("loc"))).withColumn("k", F.concat_ws("#", "path", "name"))
-    spans = materialize(spans.withColumn("id", file_id(F.lit("sym"), "k")).dropDuplicates(["id"]), "symbols")
+    spans = materialize(spans, "spans")
+    spans = materialize(spans.join(assign_ids(spans.select(F.lit("sym").alias("t"), "k")).select("k", "id"), "k"), "symbols")
     body = spans.join(contents.select("path", "content"), "path").select("path", "id", "name", F.array_join(F.slice(F.split("content", "\n"), F.col("line"), F.greatest(F.lit(1), F.col("end") - F.col("line") + 1)), "\n").alias("body"))
     other = spans.select("path", F.col("id").alias("dst"), F.col("name").alias("callee"))
     plain = F.col("callee").rlike(r"^[A-Za-z0-9_$]+$")

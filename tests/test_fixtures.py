@@ -148,6 +148,22 @@ def test_file_graph(spark):
     assert {("exports",), ("calls",)} >= {(r["type"],) for r in calls.collect()} and sym.filter("k = 'src/app.ts#main'").count() == 1
 
 
+def test_expanded_symbols_keep_their_own_ids(spark):
+    """Keys that share six digits differ in longer ids; a name told twice is one symbol of its first line."""
+    kind = "path string, loc int, anchors array<struct<name:string,line:int,exported:boolean>>, content string"
+    rows = [(f"src/f{k}.ts", 5, [(f"a{k}", 1, True), (f"b{k}", 4, False)], f"function a{k}() {{\n  b{k}();\n}}\nfunction b{k}() {{\n}}") for k in (140, 1517)]
+    rows.append(("src/z.ts", 6, [("p", 1, False), ("q", 3, False), ("p", 5, True)], "function p() {\n}\nfunction q() {\n}\nfunction p() {\n}"))
+    df = spark.createDataFrame(rows, kind)
+    sym, edges = filegraph.expand(df.drop("content"), df.select("path", "content"))
+    nodes = {r["k"]: r for r in sym.collect()}
+    key = {r["id"]: k for k, r in nodes.items()}
+    assert len(key) == len(nodes) == sym.count() == 6
+    assert nodes["src/f140.ts#b140"]["id"] == "yb18081" and len(nodes["src/f1517.ts#b1517"]["id"]) == 8
+    assert {(nodes[f"src/z.ts#{n}"]["line"], nodes[f"src/z.ts#{n}"]["end"]) for n in "pq"} == {(1, 2), (3, 6)}
+    assert sorted((key[r["src"]], key[r["dst"]]) for r in edges.filter("type = 'calls'").collect()) == [("src/f140.ts#a140", "src/f140.ts#b140"), ("src/f1517.ts#a1517", "src/f1517.ts#b1517"), ("src/z.ts#q", "src/z.ts#p")]
+    assert sorted(key[r["dst"]] for r in edges.filter("type = 'exports'").collect()) == ["src/f140.ts#a140", "src/f1517.ts#a1517", "src/z.ts#p"]
+
+
 def test_listing_drops(spark, tmp_path):
     root = tree(tmp_path, {"a/x.py": "x = 1\n", "sk/SKILL.md": "s", "sk/y.py": "y", "node_modules/z.js": "z", "big.txt": "b" * 600_000, "bin.dat": b"a\0b", "w.min.js": "m", "data.json": "{}", "odd.zig": "fn", ".hid/q.py": "q"})
     ls = files.listing(spark, root)

@@ -3,9 +3,12 @@
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from strandline.operators import traversal
 from strandline.plans import bindings, registry
+from tests.compare import check, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +95,9 @@ def test_walks_go_as_far_as_the_operators_say(spark, monkeypatch):
     back = spark.createDataFrame([(i + 1, i) for i in range(1, 41)], "src long, dst long")
     monkeypatch.setattr(bindings, "part_chain", lambda *_: back)
     assert far("importers_by_hop") == 32
+
+
+def test_symbols_whose_six_digits_collide(spark, tmp_path):
+    """b140 and b1517 share the first six digits: neither may go."""
+    pq.write_table(pa.table({"p_partkey": [140, 1517]}), tmp_path / "part.parquet")
+    check(spark, tables(tmp_path), str(tmp_path), registry.queries()["expanded_symbols"], registry.oracle_sql()["expanded_symbols"])
