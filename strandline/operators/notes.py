@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from contextlib import contextmanager
 
@@ -25,28 +26,71 @@ class LedgerLocked(RuntimeError):
     """Another writer holds the ledger; nothing was written."""
 
 
+def _made(spark: SparkSession, filesystem, path) -> bool:
+    """Whether this call made the file. create() of the local file system looks first and writes then, so that two can pass it; the JVM's createNewFile() is one step."""
+    try:
+        if filesystem.getUri().getScheme() == "file":
+            return spark.sparkContext._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+        filesystem.create(path, False).close()
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def _drop_abandoned(spark: SparkSession, filesystem, lock, after_ms: int) -> None:
+    """Drop a lock of that age. One looks and drops at a time: a second one would drop the lock that the first has since taken."""
+    turn = lock.suffix(".steal")
+    if not _made(spark, filesystem, turn):
+        return
+    try:
+        if filesystem.exists(lock) and time.time() * 1000 - filesystem.getFileStatus(lock).getModificationTime() > after_ms:
+            filesystem.delete(lock, False)
+    except Py4JJavaError:  # released meanwhile
+        pass
+    finally:
+        filesystem.delete(turn, False)
+
+
 @contextmanager
 def ledger_lock(spark: SparkSession, ledger_path: str, attempts: int = 160, delay_ms: int = 25, steal_after_ms: int = 10_000):
-    """Hold a ledger alone: a lock file beside it that only one writer can create. An old one is taken for abandoned."""
-    jvm = spark.sparkContext._jvm
+    """Hold a ledger alone: a lock file beside it that only one writer can create. An old one is taken for abandoned; while it is held it is kept young."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     lock = jvm.org.apache.hadoop.fs.Path(ledger_path.rstrip("/") + ".lock")
-    filesystem = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, filesystem = lock.getParent(), lock.getFileSystem(conf)
+    filesystem.mkdirs(folder)
+    lock = jvm.org.apache.hadoop.fs.Path(filesystem.resolvePath(folder), lock.getName())  # behind a mount table
+    filesystem = lock.getFileSystem(conf)
     for _ in range(attempts):
-        try:
-            filesystem.create(lock, False).close()
+        if _made(spark, filesystem, lock):
             break
-        except Py4JJavaError:
-            if not filesystem.exists(lock):
+        if steal_after_ms > 0:
+            try:
+                old = time.time() * 1000 - filesystem.getFileStatus(lock).getModificationTime() > steal_after_ms
+            except Py4JJavaError:  # released meanwhile
                 continue
-            age = time.time() * 1000 - filesystem.getFileStatus(lock).getModificationTime()
-            if 0 < steal_after_ms < age:
-                filesystem.delete(lock, False)
-            time.sleep(delay_ms / 1000)
+            if old:
+                _drop_abandoned(spark, filesystem, lock, steal_after_ms)
+        time.sleep(delay_ms / 1000)
     else:
         raise LedgerLocked(f"{ledger_path} is held by another writer ({attempts} attempts)")
+    released = threading.Event()
+
+    def keep_young():
+        while not released.wait(steal_after_ms / 4000):
+            try:
+                filesystem.setTimes(lock, int(time.time() * 1000), -1)
+            except Exception:  # the next turn may do it  # noqa: BLE001
+                pass
+
+    keeper = threading.Thread(target=keep_young, daemon=True)
+    if steal_after_ms > 0:
+        keeper.start()
     try:
         yield
     finally:
+        released.set()
+        if keeper.ident:
+            keeper.join()
         filesystem.delete(lock, False)
 
 

@@ -1,8 +1,10 @@
 """Working trees, overlays, ledgers and snapshots on disk."""
 
 import json
+import os
 import subprocess
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,60 @@ def test_ledgers_have_one_writer_at_a_time(spark, tmp_path):
             pass
 
 
+def test_of_writers_at_one_moment_one_gets_the_lock(spark, tmp_path):
+    path, start, end = f"file://{tmp_path}/new/ledger", threading.Barrier(6), threading.Barrier(6)
+    held = []
+
+    def one(turn):
+        start.wait(60)
+        try:
+            with notes.ledger_lock(spark, path, attempts=1):
+                held.append(turn)
+                end.wait(60)
+        except notes.LedgerLocked:
+            end.wait(60)
+
+    for turn in range(25):
+        each = [threading.Thread(target=one, args=(turn,)) for _ in range(6)]
+        for t in each:
+            t.start()
+        for t in each:
+            t.join()
+    assert held == list(range(25))
+
+
+def test_a_lock_in_use_is_not_taken_for_abandoned(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    with notes.ledger_lock(spark, path, steal_after_ms=2_000):
+        time.sleep(2.5)
+        with pytest.raises(notes.LedgerLocked), notes.ledger_lock(spark, path, attempts=20, steal_after_ms=2_000):
+            pass
+
+
+def test_an_abandoned_lock_goes_to_one_writer(spark, tmp_path):
+    path, start, end = f"file://{tmp_path}/ledger", threading.Barrier(6), threading.Barrier(6)
+    held = []
+
+    def one(turn):
+        start.wait(60)
+        try:
+            with notes.ledger_lock(spark, path, attempts=4, steal_after_ms=5_000):
+                held.append(turn)
+                end.wait(60)
+        except notes.LedgerLocked:
+            end.wait(60)
+
+    for turn in range(10):
+        (tmp_path / "ledger.lock").touch()
+        os.utime(tmp_path / "ledger.lock", (1, 1))
+        each = [threading.Thread(target=one, args=(turn,)) for _ in range(6)]
+        for t in each:
+            t.start()
+        for t in each:
+            t.join()
+    assert held == list(range(10))
+
+
 def test_a_snapshot_stays_whole_while_the_next_one_is_written(spark, tmp_path):
     root, one, two = f"file://{tmp_path}", spark.range(1), spark.range(2)
     files.save_snapshot({"n": one}, root, "s")
