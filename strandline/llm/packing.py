@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 import os
+import re
+import struct
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -22,6 +24,12 @@ GROUP_ROWS = 4000
 #: Rounds in a row without fewer sequences or a smaller pool, after which the packing ends uncertified.
 STALE_ROUNDS = 2
 _CACHE_ROWS = 600_000
+#: Letters of Latin-1 and Latin Extended-A, which stand for themselves in NFC; lower() must not leave them.
+_WORD, _LOWER_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch, re.compile("[a-zß-öø-ſ]+").fullmatch
+#: The character that a byte-level vocabulary has for each byte, by the byte's Latin-1 character.
+_BYTE_CHARS = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512)))
+#: ASCII punctuation that can end a chunk without being part of a special token.
+_TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _log = logging.getLogger(__name__)
 
 
@@ -39,19 +47,31 @@ def _tokenizer(vocabulary: str):
 
 def _plain(chunk: bytes) -> tuple[bytes, bytes]:
     """(core, tail): a chunk with the same ids as core + tail, which many chunks share."""
-    core = chunk.rstrip(b".,;:!?")
+    core = chunk.rstrip(_TAIL)
     if not core[-1:].isalnum():  # the tail would merge with what stands before it
         core = chunk
     return (core.lower() if core.isascii() and b"<|" not in core else core), chunk[len(core) :]
 
 
+def _byte_word(chunk: bytes) -> str | None:
+    """A chunk of Latin letters alone as its one pre-token, None for any other chunk."""
+    word = chunk.decode("utf-8")
+    if not _WORD(word) or not _LOWER_WORD(word := word.lower()):
+        return None
+    return word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
+
+
 def _encode_chunks(chunks: list[bytes], tok) -> dict[bytes, bytes]:
-    """Ids of chunks, many to a call: a lone control character, always one token, parts them."""
-    found, (mark,) = {}, tok.encode("\x01", add_special_tokens=False).ids
-    together = [c for c in chunks if b"\x01" not in c]
+    """Ids of chunks. Words of Latin letters go to the merges at once, others many to a call: a lone control character, always one token, parts them."""
+    found, (mark,), merge, together = {}, tok.encode("\x01", add_special_tokens=False).ids, tok.model.tokenize, []
     for c in chunks:
-        if b"\x01" in c:
+        if (word := _byte_word(c)) is not None:
+            ids = [t.id for t in merge(word)]
+            found[c] = struct.pack(f"<{len(ids)}I", *ids)
+        elif b"\x01" in c:
             found[c] = np.array(tok.encode(c.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            together.append(c)
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
     for i in range(0, len(together), 500):
         part = together[i : i + 500]

@@ -16,6 +16,30 @@ def test_ids_equal_the_tokenizers(documents):
     assert P.encode_texts(texts) == want  # from the cache
 
 
+def test_words_and_tails_in_every_letter_have_the_tokenizers_ids():
+    letters = [chr(c) for c in range(0x21, 0x600)] + ["ﬁ", "K", "Å", "ẞ", "ｗ"]
+    texts = [f"{a} x{a} {a}x ab{a}cd AB{a}! {a}{a}" for a in letters]
+    texts += [f"word{t} Wörd{t} x9{t}" for t in (*P._TAIL.decode(), "***", "$$$", "'", "'s", "|>", ").", "_a_", "e\u0301", "-'ll")] + ["<|endoftext|>. a<|endoftext|>&& <|endoftext|"]
+    tok = Tokenizer.from_file(P.VOCABULARY)
+    assert P.encode_texts(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_of_letters_go_to_the_merges_at_once():
+    tok, seen = Tokenizer.from_file(P.VOCABULARY), []
+
+    class Spy:
+        model, encode, encode_batch = tok.model, tok.encode, None
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+    words = [b"sheratntha", "Straße".encode(), b"x1", "İx".encode()]
+    got = P._encode_chunks(words, Spy())
+    assert seen == ["x1 \x01 İx"]
+    assert got == {w: np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+
+
 def test_full_cache(documents, monkeypatch):
     texts = [r.text for r in documents.select("text").limit(20).collect()]
     want = P.encode_texts(texts)
