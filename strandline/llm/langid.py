@@ -24,6 +24,8 @@ _FLOOR = 1e-7
 _CACHE_WORDS = 500_000
 #: Characters of the words that are scored together, padding included: bounds memory, changes no result.
 _BATCH_CHARS = 400_000
+#: Places of words whose pieces are held at once: bounds memory where words are long, changes no result.
+_SPAN = 4096
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NO_ROWS = np.zeros(0, np.int64)
@@ -90,11 +92,17 @@ class UnigramModel:
             out.append([(r := np.flatnonzero(hit[:, i]), at[r, i]) if some[i] else (_NO_ROWS, _NO_ROWS) for i in range(h.shape[1])])
         return out
 
-    def _forward(self, places, n: int, m: int, log_prob: np.ndarray) -> np.ndarray:
-        """alpha[:, j]: log probability of the first j characters, summed over all their segmentations."""
+    def _forward(self, places, n: int, m: int, log_prob: np.ndarray, first: np.ndarray | float = 0.0, steps: int | None = None) -> np.ndarray:
+        """alpha[:, j]: log probability of the first j characters, summed over all their segmentations.
+
+        first: the columns from 0 as far as pieces from before have filled them; steps: places that pieces start from, all if None.
+        """
         alpha = np.full((n, m + 1, log_prob.shape[1]), -np.inf)
-        alpha[:, 0] = 0.0
-        for i in range(m):
+        if isinstance(first, float):
+            alpha[:, 0] = first
+        else:
+            alpha[:, : first.shape[1]] = first
+        for i in range(m if steps is None else steps):
             for length in range(1, min(len(places), m - i) + 1):
                 rows, ids = places[length - 1][i]
                 if len(ids):
@@ -105,8 +113,13 @@ class UnigramModel:
         """(words, languages) natural logs of whole words."""
         out, log_prob = np.zeros((len(words), len(self.langs))), np.log(self.prob)
         for at, codes, ends in _by_length(words):
-            alpha = self._forward(self._places(codes), *codes.shape, log_prob)
-            out[at] = alpha[np.arange(len(at)), ends]
+            codes, alpha = codes[:, : ends.max()], np.zeros((len(at), 1, len(self.langs)))
+            for start in range(0, codes.shape[1], _SPAN):  # of what went before, only the sums that a piece can still reach are kept
+                part, steps = codes[:, start : start + _SPAN + self.longest - 1], min(_SPAN, codes.shape[1] - start)
+                alpha = self._forward(self._places(part), *part.shape, log_prob, alpha, steps)
+                here = (ends > start) & (ends <= start + steps)
+                out[at[here]] = alpha[here, ends[here] - start]
+                alpha = alpha[:, steps:].copy()
         return out
 
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> None:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -491,3 +492,17 @@ def test_keys_are_the_callers(spark):
     spark.conf.set(pii.KEY_SETTING, "mine")
     assert pii.session_key(spark) == b"mine"
     spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_memory_of_a_very_long_word_is_bounded(monkeypatch):
+    model = L.UnigramModel.empty(["a", "b", "c", "d"])
+    model.prob[:-1] *= np.random.default_rng(3).random(model.prob[:-1].shape)
+    words = ["".join(random.Random(n).choices("etaoinshrdlué", k=n)) for n in (1, 3, 39, 40, 41, 80, 95, 400, 20_000)]
+    tracemalloc.start()
+    got = model.log_likelihoods(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    for span in (7, 1 << 20):
+        monkeypatch.setattr(L, "_SPAN", span)
+        assert np.array_equal(model.log_likelihoods(words), got)
