@@ -18,3 +18,11 @@ def many_parts(tmp_path_factory):
 
 def test_candidates_of_many_imports_are_never_broadcast(spark, many_parts):
     assert "BroadcastExchange" not in plan(registry.queries()["typescript_imports"](spark, many_parts))
+
+
+def test_scratch_tables_of_some_size_are_exchanged(spark):
+    """The symbol graph's joins: files under the broadcast limit that hold many rows."""
+    from strandline.storage import materialize
+
+    kept = materialize(spark.range(400_000).selectExpr("id", "sha2(cast(id AS string), 256) k"), "some")
+    assert "BroadcastExchange" not in plan(spark.range(10_000_000).join(kept, "id"))
