@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import hash_prefix, tokens_ceiled
+from strandline.functions.text import tokens_ceiled
 from strandline.schemas import CHECK_RANK, FILE_EDGE_TYPES, GIT_RANK, SCAN_OWNED
 from strandline.storage import materialize
 
@@ -66,16 +66,14 @@ def assign_ids(nodes: DataFrame) -> DataFrame:
     """
     from strandline.functions.text import file_id
 
-    keyed = nodes.select("t", "k").distinct().withColumns({"h": hash_prefix(F.concat_ws(":", "t", "k"), 20), "id6": file_id("t", "k")})
-    mates = keyed.withColumn("mates", F.count("*").over(Window.partitionBy("t", "id6")))
-    prefix = F.substr(F.col("h"), F.lit(1), F.col("n"))
-    # of keys that share a prefix the first has it: the shortest such length, from the few keys with mates alone
-    tried = mates.filter("mates > 1").withColumn("n", F.explode(F.sequence(F.lit(6), F.lit(20)))).withColumn("prefix", prefix)
-    first = tried.withColumn("r", F.row_number().over(Window.partitionBy("t", "n", "prefix").orderBy("k"))).groupBy("t", "k", "h", "id6").agg(
-        F.coalesce(F.min(F.when(F.col("r") == 1, F.col("n"))), F.lit(20)).alias("n")
-    )
-    out = mates.filter("mates = 1").select("t", "k", "h", "id6", F.lit(6).alias("n")).unionByName(first)
-    return out.select("t", "k", F.when(F.col("t") == "issue", F.col("id6")).otherwise(F.concat(F.substring("id6", 1, 1), prefix)).alias("id"))
+    # a key's mates are those of its letter and six digits; the rest of 20 digits is a number, so the nearest mate is that of the smallest XOR
+    rest = F.conv(F.substring(F.sha2(F.concat_ws(":", "t", "k").cast("string"), 256), 7, 14), 16, 10).cast("long")
+    keyed = nodes.select("t", "k", file_id("t", "k").alias("id6"), rest.alias("rest")).repartition("id6").distinct()
+    earlier = F.collect_list("rest").over(Window.partitionBy("id6").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    near = F.array_min(F.transform("earlier", lambda x: x.bitwiseXOR(F.col("rest"))))
+    more = F.when(near.isNull() | (F.col("t") == "issue"), 0).when(near == 0, 14).otherwise(15 - F.length(F.hex(near)))
+    digits = F.lpad(F.lower(F.hex("rest")), 14, "0")
+    return keyed.withColumn("earlier", earlier).select("t", "k", F.concat("id6", F.substr(digits, F.lit(1), more)).alias("id"))
 
 
 def worst_state(states: DataFrame, ranks: dict[str, int] = GIT_RANK, key: str = "path") -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from strandline.plans import registry
+from tests.compare import check, tables
 from tests.test_plans import plan
 
 
@@ -26,3 +27,11 @@ def test_scratch_tables_of_some_size_are_exchanged(spark):
 
     kept = materialize(spark.range(400_000).selectExpr("id", "sha2(cast(id AS string), 256) k"), "some")
     assert "BroadcastExchange" not in plan(spark.range(10_000_000).join(kept, "id"))
+
+
+def test_longer_ids_grow_one_row_a_key(spark, tmp_path):
+    """Colliding keys are settled without a row for each length that an id may have."""
+    n = 30_000
+    pq.write_table(pa.table({"l_orderkey": range(n), "l_linenumber": pa.array([1] * n, pa.int32())}), tmp_path / "lineitem.parquet")
+    assert "Generate" not in plan(registry.queries()["id_collisions"](spark, str(tmp_path)))
+    check(spark, tables(tmp_path), str(tmp_path), registry.queries()["id_collisions"], registry.oracle_sql()["id_collisions"])
