@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.paths import TS_EXTENSIONS, basename, dirname, is_adr, is_test_file, join_posix, node_type, tags, test_subject
-from strandline.functions.text import file_id, structural_summary
+from strandline.functions.text import structural_summary
 from strandline.operators.graph import assign_ids, fan_in_weights, infer_modules, nearest_module, unique_only
 from strandline.operators.resolve import first_existing, python_candidates, ts_candidates
 from strandline.storage import materialize
@@ -78,7 +78,10 @@ def build_file_graph(found: DataFrame, entries: list[str] | None = None, go_modu
     near = materialize(nearest_module(files, mods), "near-modules")
     kind = node_type("path", entries)
     deg = targets.filter("NOT is_dir").groupBy(F.col("target").alias("path")).agg(F.countDistinct("path").alias("n_in"))
-    ids = found.select("path", kind.alias("t")).withColumn("id", file_id("t", "path"))
+    keys = found.select(kind.alias("t"), F.col("path").alias("k")).unionByName(mods.select(F.lit("mod").alias("t"), F.col("dir").alias("k")))
+    every = materialize(assign_ids(keys), "file-ids")
+    ids = every.filter("t != 'mod'").select(F.col("k").alias("path"), "t", "id")
+    mod_ids = every.filter("t = 'mod'").select(F.col("k").alias("dir"), "id")
     weights = fan_in_weights(ids.join(deg, "path", "left").select("id", F.coalesce("n_in", F.lit(0)).alias("n_in")))
     brief = targets.groupBy("path").agg(F.slice(F.array_sort(F.collect_set(basename("target"))), 1, 3).alias("imports"))
     rich = found.join(ids, "path").join(weights, "id").join(deg, "path", "left").join(brief, "path", "left")
@@ -89,19 +92,19 @@ def build_file_graph(found: DataFrame, entries: list[str] | None = None, go_modu
         tags("path", F.col("lang"), depth).alias("g"), "h", F.slice(F.transform("anchors", lambda a: F.struct(a["name"].alias("name"), a["line"].alias("line"))), 1, 8).alias("a"),
         F.lit("ok").alias("st"), "w", F.lit("scan").alias("by"), F.lit(None).cast("bigint").alias("ts"),
     )
-    mod_nodes = mods.select(
-        file_id(F.lit("mod"), "dir").alias("id"), F.lit("mod").alias("t"), F.col("dir").alias("k"), F.concat(F.col("nested").cast("string"), F.lit(" files")).alias("s"),
+    mod_nodes = mods.join(mod_ids, "dir").select(
+        "id", F.lit("mod").alias("t"), F.col("dir").alias("k"), F.concat(F.col("nested").cast("string"), F.lit(" files")).alias("s"),
         F.array().cast("array<string>").alias("g"), F.lit(None).cast("string").alias("h"), F.lit(None).cast("array<struct<name:string,line:int>>").alias("a"), F.lit("ok").alias("st"), F.lit(1).alias("w"), F.lit("scan").alias("by"), F.lit(None).cast("bigint").alias("ts"),
     )
     at = ids.select("path", "id")
     dst = at.select(F.col("path").alias("target"), F.col("id").alias("dst"))
     src = at.select("path", F.col("id").alias("src"))
-    mod_id = mods.select(F.col("dir").alias("module"), file_id(F.lit("mod"), "dir").alias("dst"))
+    mod_id = mod_ids.select(F.col("dir").alias("module"), F.col("id").alias("dst"))
     edge = lambda d, t: d.select("src", F.lit(t).alias("type"), "dst")
     edges = edge(targets.filter("NOT is_dir").join(src, "path").join(dst, "target"), "imports")
     edges = edges.unionByName(edge(targets.filter("is_dir").withColumnRenamed("target", "module").join(src, "path").join(mod_id, "module"), "imports"))
     edges = edges.unionByName(edge(near.join(src, "path").join(mod_id, "module"), "part-of"))
-    up = nearest_module(mods.select(F.col("dir").alias("path")), mods).filter("module IS NOT NULL").withColumn("src", file_id(F.lit("mod"), "path"))
+    up = nearest_module(mods.select(F.col("dir").alias("path")), mods).filter("module IS NOT NULL").join(mod_ids.select(F.col("dir").alias("path"), F.col("id").alias("src")), "path")
     edges = edges.unionByName(edge(up.join(mod_id, "module"), "part-of"))
     edges = edges.unionByName(edge(pair_tests(files).join(at.select(F.col("path").alias("test"), F.col("id").alias("dst")), "test").join(at.select(F.col("path").alias("subject"), F.col("id").alias("src")), "subject"), "tested-by"))
     told = link_mentions(found).join(at.select(F.col("path").alias("doc"), F.col("id").alias("src")), "doc").join(at.select(F.col("path").alias("code"), F.col("id").alias("dst")), "code")
@@ -132,9 +135,11 @@ def link_mentions(found: DataFrame) -> DataFrame:
     return prose.unionByName(every.filter((F.col("lang") != "md") & is_md).select(F.col("hit").alias("doc"), F.col("path").alias("code"))).distinct()
 
 
-def expand(found: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def expand(found: DataFrame, contents: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(symbol nodes, edges) of files: anchors as symbols that end before the next, exports, and calls within a file.
 
+    Exports start at the ids that the nodes (id, k) of the file graph have, or without
+    nodes at those that the files found have among themselves.
     A name told more than once in a file is one symbol, at its first line; keys
     whose ids collide at six digits get longer ones, so none is dropped.
     A symbol calls another of its file if the other's name, with an opening
@@ -155,10 +160,12 @@ def expand(found: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     by_name = said.join(other.filter(plain), ["path", "callee"]).select("id", "dst")
     odd = body.join(other.filter(~plain), "path").filter(F.expr(r"regexp(body, concat('(?<![A-Za-z0-9_$])\\Q', callee, '\\E[ \\t]*\\('))")).select("id", "dst")
     called = by_name.unionByName(odd).filter("id != dst")
-    owner = found.select("path", file_id(node_type("path"), "path").alias("file"))
+    if nodes is None:
+        nodes = assign_ids(found.select(node_type("path").alias("t"), F.col("path").alias("k")))
+    owner = found.select("path").join(nodes.select(F.col("k").alias("path"), F.col("id").alias("file")), "path")
     exports = spans.filter("exported").join(owner, "path").select(F.col("file").alias("src"), F.lit("exports").alias("type"), F.col("id").alias("dst"))
-    nodes = spans.select("id", F.lit("sym").alias("t"), "k", "line", "end")
-    return nodes, exports.unionByName(called.select(F.col("id").alias("src"), F.lit("calls").alias("type"), "dst")).distinct()
+    symbols = spans.select("id", F.lit("sym").alias("t"), "k", "line", "end")
+    return symbols, exports.unionByName(called.select(F.col("id").alias("src"), F.lit("calls").alias("type"), "dst")).distinct()
 
 
 def untested(nodes: DataFrame, edges: DataFrame) -> DataFrame:

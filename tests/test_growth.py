@@ -35,3 +35,18 @@ def test_longer_ids_grow_one_row_a_key(spark, tmp_path):
     pq.write_table(pa.table({"l_orderkey": range(n), "l_linenumber": pa.array([1] * n, pa.int32())}), tmp_path / "lineitem.parquet")
     assert "Generate" not in plan(registry.queries()["id_collisions"](spark, str(tmp_path)))
     check(spark, tables(tmp_path), str(tmp_path), registry.queries()["id_collisions"], registry.oracle_sql()["id_collisions"])
+
+
+def test_files_whose_six_digits_collide_keep_their_edges(spark, tmp_path):
+    """Parts up to the first two paths that share six digits, f840 and f7647, each importing and imported."""
+    from hashlib import sha256
+
+    seen, pair = {}, None
+    for k in range(100_000):
+        six = sha256(f"file:src/m{k % 10}/f{k}.ts".encode()).hexdigest()[:6]
+        if six in seen:
+            pair = seen[six], k
+            break
+        seen[six] = k
+    pq.write_table(pa.table({"p_partkey": list(range(pair[1] + 11))}), tmp_path / "part.parquet")
+    check(spark, tables(tmp_path), str(tmp_path), registry.queries()["file_graph"], registry.oracle_sql()["file_graph"])
