@@ -50,3 +50,15 @@ def test_files_whose_six_digits_collide_keep_their_edges(spark, tmp_path):
         seen[six] = k
     pq.write_table(pa.table({"p_partkey": list(range(pair[1] + 11))}), tmp_path / "part.parquet")
     check(spark, tables(tmp_path), str(tmp_path), registry.queries()["file_graph"], registry.oracle_sql()["file_graph"])
+
+
+def documents(at, texts):
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts, "lang": ["en"] * len(texts), "source": ["s"] * len(texts), "n_chars": [len(x) for x in texts]}), at / "documents.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["normalized_body", "source_keys"])
+def test_bodies_of_many_lines_and_odd_breaks(spark, tmp_path, name):
+    """A text of 30,000 lines, whose indent was once found anew for each line; blanks before U+2028 and U+0085 end no line."""
+    sf = documents(tmp_path, ["a\n    b \t\n\n" * 10_000, "x   \n y \x85", "\t a\r\n\t\t b\f\n", " \n\t\n", "", "a" + " " * 50_000 + "b"])
+    check(spark, tables(sf), sf, registry.queries()[name], registry.oracle_sql()[name])
