@@ -62,3 +62,7 @@ def test_bodies_of_many_lines_and_odd_breaks(spark, tmp_path, name):
     """A text of 30,000 lines, whose indent was once found anew for each line; blanks before U+2028 and U+0085 end no line."""
     sf = documents(tmp_path, ["a\n    b \t\n\n" * 10_000, "x   \n y \x85", "\t a\r\n\t\t b\f\n", " \n\t\n", "", "a" + " " * 50_000 + "b"])
     check(spark, tables(sf), sf, registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_source_keys_move_no_text(spark, tmp_path):
+    assert "Exchange" not in plan(registry.queries()["source_keys"](spark, documents(tmp_path, ["a", "b"])))
