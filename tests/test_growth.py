@@ -66,3 +66,9 @@ def test_bodies_of_many_lines_and_odd_breaks(spark, tmp_path, name):
 
 def test_source_keys_move_no_text(spark, tmp_path):
     assert "Exchange" not in plan(registry.queries()["source_keys"](spark, documents(tmp_path, ["a", "b"])))
+
+
+def test_words_of_a_text_are_found_once(spark, tmp_path):
+    text = plan(registry.queries()["tokenize_text"](spark, documents(tmp_path, ["Some camelCase words"])))
+    made = next(x for x in text.split("\n") if x.startswith("Arguments: explode("))
+    assert made.count("text#") == 1
