@@ -72,3 +72,10 @@ def test_words_of_a_text_are_found_once(spark, tmp_path):
     text = plan(registry.queries()["tokenize_text"](spark, documents(tmp_path, ["Some camelCase words"])))
     made = next(x for x in text.split("\n") if x.startswith("Arguments: explode("))
     assert made.count("text#") == 1
+
+
+@pytest.mark.parametrize("name", ["documented_modules"])
+def test_files_are_dealt_out_before_they_are_parsed(spark, tmp_path, name):
+    """Parts of one small file, which one task would read and parse alone."""
+    pq.write_table(pa.table({"p_partkey": range(50)}), tmp_path / "part.parquet")
+    assert registry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
