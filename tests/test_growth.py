@@ -74,7 +74,7 @@ def test_words_of_a_text_are_found_once(spark, tmp_path):
     assert made.count("text#") == 1
 
 
-@pytest.mark.parametrize("name", ["documented_modules"])
+@pytest.mark.parametrize("name", ["documented_modules", "extracted_defs"])
 def test_files_are_dealt_out_before_they_are_parsed(spark, tmp_path, name):
     """Parts of one small file, which one task would read and parse alone."""
     pq.write_table(pa.table({"p_partkey": range(50)}), tmp_path / "part.parquet")
