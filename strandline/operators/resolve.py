@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.storage import materialize
@@ -23,10 +23,14 @@ def longest_prefix(names: DataFrame, index: DataFrame, sep: str = ".") -> DataFr
 def smallest_enclosing(places: DataFrame, spans: DataFrame) -> DataFrame:
     """(path, pos, key): the smallest [sb, eb) of the same path that holds pos; ties to the first span.
 
-    An equality join on the path, then a filter: files bound the pairs.
+    An equality join on the path, then a filter: files bound the pairs. Spans are
+    ranked within their file first, so a place keeps one number while the pairs
+    pass; they are neither sorted nor kept.
     """
-    hit = places.join(spans, "path").filter("sb <= pos AND pos < eb")
-    return hit.groupBy("path", "pos").agg(F.min_by("key", F.struct(F.col("eb") - F.col("sb"), "sb", "key")).alias("key"))
+    order = Window.partitionBy("path").orderBy(F.col("eb") - F.col("sb"), "sb", "key")
+    ranked = spans.select("path", "sb", "eb", "key", F.row_number().over(order).alias("rank"))
+    least = places.join(ranked, "path").filter("sb <= pos AND pos < eb").groupBy("path", "pos").agg(F.min("rank").alias("rank"))
+    return least.join(ranked.select("path", "rank", "key"), ["path", "rank"]).select("path", "pos", "key")
 
 
 def satisfies(types: DataFrame, ifaces: DataFrame) -> DataFrame:

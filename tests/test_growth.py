@@ -79,3 +79,7 @@ def test_files_are_dealt_out_before_they_are_parsed(spark, tmp_path, name):
     """Parts of one small file, which one task would read and parse alone."""
     pq.write_table(pa.table({"p_partkey": range(50)}), tmp_path / "part.parquet")
     assert registry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_pairs_of_places_and_spans_are_not_sorted(spark):
+    assert "SortAggregate" not in plan(registry.queries()["smallest_enclosing"](spark, "/root/testdata/sf0.001"))
