@@ -37,16 +37,22 @@ def satisfies(types: DataFrame, ifaces: DataFrame) -> DataFrame:
     """(type, iface) pairs where the type has every method of the interface.
 
     types: type, method; ifaces: iface, method, both distinct. Each interface asks
-    only the types that have its rarest method; those are then held against all
-    its methods. So a method that every type has makes no pairs.
+    only the types that have its rarest method; of those, the ones that have the
+    second rarest too are held against the other methods. So a method that every
+    type has makes no pairs, and pairs that fail at once meet one method, not all.
     """
     common = types.groupBy("method").agg(F.count("*").alias("bearers"))
-    asked = ifaces.join(common, "method", "left").groupBy("iface").agg(
-        F.count("*").alias("need"), F.min_by("method", F.struct(F.coalesce("bearers", F.lit(0).cast("long")), "method")).alias("method")
-    )
-    maybe = materialize(asked.join(types, "method").select("type", "iface", "need"), "satisfy-candidates")
-    held = maybe.join(ifaces, "iface").join(types, ["type", "method"], "left_semi").groupBy("type", "iface", "need").agg(F.count("*").alias("have"))
-    return held.filter("have = need").select("type", "iface")
+    order = Window.partitionBy("iface").orderBy(F.coalesce("bearers", F.lit(0).cast("long")), "method")
+    asked = materialize(ifaces.join(common, "method", "left").select("iface", "method", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("iface")).alias("need")), "satisfy-methods")
+    first = asked.filter("r = 1").select("iface", "need", F.col("method").alias("m1"))
+    second = asked.filter("r = 2").select("iface", F.col("method").alias("m2"))
+    heads = first.join(second, "iface", "left")
+    maybe = materialize(heads.join(types.withColumnRenamed("method", "m1"), "m1").select("type", "iface", "need", "m2"), "satisfy-candidates")
+    held = maybe.filter("need > 1").join(types.withColumnRenamed("method", "m2"), ["type", "m2"], "left_semi")
+    held = materialize(held.select("type", "iface", "need"), "satisfy-held")
+    left = held.filter("need > 2").join(asked.filter("r > 2").select("iface", "method"), "iface").join(types, ["type", "method"], "left_semi")
+    whole = left.groupBy("type", "iface", "need").agg(F.count("*").alias("have")).filter("have = need - 2").select("type", "iface")
+    return maybe.filter("need = 1").select("type", "iface").unionByName(held.filter("need = 2").select("type", "iface")).unionByName(whole)
 
 
 def first_existing(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -83,3 +83,24 @@ def test_files_are_dealt_out_before_they_are_parsed(spark, tmp_path, name):
 
 def test_pairs_of_places_and_spans_are_not_sorted(spark):
     assert "SortAggregate" not in plan(registry.queries()["smallest_enclosing"](spark, "/root/testdata/sf0.001"))
+
+
+def test_second_rarest_method_thins_the_candidates(spark, monkeypatch):
+    """Fifty types share an interface's rarest method, sixty its second, two both: the others meet no third one."""
+    from strandline.operators import resolve
+
+    rows = {}
+    keep = resolve.materialize
+
+    def counted(df, label, *more):
+        out = keep(df, label, *more)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(resolve, "materialize", counted)
+    own = {t: {"c", "d"} | ({"a"} if t < 50 else set()) | ({"b"} if t >= 48 and t < 108 else set()) for t in range(120)}
+    types = spark.createDataFrame([(t, m) for t, ms in own.items() for m in ms], "type int, method string")
+    ifaces = spark.createDataFrame([(i, m) for i, ms in enumerate(("abcd", "a", "ab", "abx")) for m in ms], "iface int, method string")
+    got = {tuple(r) for r in resolve.satisfies(types, ifaces).collect()}
+    assert got == {(48, 0), (49, 0), (48, 2), (49, 2)} | {(t, 1) for t in range(50)}
+    assert rows["satisfy-held"] == 4
