@@ -104,3 +104,9 @@ def test_second_rarest_method_thins_the_candidates(spark, monkeypatch):
     got = {tuple(r) for r in resolve.satisfies(types, ifaces).collect()}
     assert got == {(48, 0), (49, 0), (48, 2), (49, 2)} | {(t, 1) for t in range(50)}
     assert rows["satisfy-held"] == 4
+
+
+def test_edges_are_distinct_by_numbers(spark):
+    from strandline.plans.bindings import file_edges
+
+    assert "hashpartitioning(src" not in plan(file_edges(spark, "/root/testdata/sf0.001"))
