@@ -39,11 +39,11 @@ def dedupe_confidence(edges: DataFrame) -> DataFrame:
 
 
 def orphan_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an endpoint that no node has."""
+    """Edges with an endpoint that no node has, found in one pass over the edges."""
     ids = nodes.select("id").distinct()
-    no_src = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").select(*edges.columns)
-    no_dst = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns)
-    return no_src.unionByName(no_dst).distinct()
+    known = lambda side: ids.select(F.col("id").alias(side), F.lit(True).alias(f"has_{side}"))
+    both = edges.join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    return both.filter("has_src IS NULL OR has_dst IS NULL").select(*edges.columns).distinct()
 
 
 def prune(nodes: DataFrame, edges: DataFrame, summary_max: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -110,3 +110,11 @@ def test_edges_are_distinct_by_numbers(spark):
     from strandline.plans.bindings import file_edges
 
     assert "hashpartitioning(src" not in plan(file_edges(spark, "/root/testdata/sf0.001"))
+
+
+def test_orphans_are_found_in_one_pass(spark):
+    from strandline.plans.bindings import file_edges
+
+    sf = "/root/testdata/sf0.001"
+    scans = lambda df: plan(df).count("lineitem.parquet")
+    assert scans(registry.queries()["orphan_edges"](spark, sf)) == scans(file_edges(spark, sf))
