@@ -17,8 +17,9 @@ def many_parts(tmp_path_factory):
     return str(at)
 
 
-def test_candidates_of_many_imports_are_never_broadcast(spark, many_parts):
-    assert "BroadcastExchange" not in plan(registry.queries()["typescript_imports"](spark, many_parts))
+@pytest.mark.parametrize("name", ["typescript_imports", "python_imports"])
+def test_candidates_of_many_imports_are_never_broadcast(spark, many_parts, name):
+    assert "BroadcastExchange" not in plan(registry.queries()[name](spark, many_parts))
 
 
 def test_scratch_tables_of_some_size_are_exchanged(spark):
