@@ -17,7 +17,7 @@ def many_parts(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["typescript_imports", "python_imports"])
+@pytest.mark.parametrize("name", ["typescript_imports", "python_imports", "rust_imports"])
 def test_candidates_of_many_imports_are_never_broadcast(spark, many_parts, name):
     assert "BroadcastExchange" not in plan(registry.queries()[name](spark, many_parts))
 
