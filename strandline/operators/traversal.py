@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.schemas import FLOW_TYPES, IMPACT_TYPES
-from strandline.storage import materialize
+from strandline.storage import materialize as _materialize
+
+#: A hop's level may be small beside the edges; a hint on these would exchange them at every hop.
+materialize = partial(_materialize, exchange=False)
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
